@@ -11,6 +11,7 @@ tables give no rows; further columns are ignored. Texts are never cut.
 from __future__ import annotations
 
 import json
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import plain, small_batches
 
 #: Words that a worker remembers at most; the table starts anew beyond it.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -53,6 +54,8 @@ class RankMerger:
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Number of symbols that survive for each word; an empty word has none."""
+        if not words:
+            return np.zeros(0, dtype=np.int64)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         out, alive = sizes.copy(), np.flatnonzero(sizes > 1)
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
@@ -111,37 +114,34 @@ class TextCounter:
         model = spec["model"]
         self.merger = RankMerger(model["vocab"], model["merges"], model["end_of_word_suffix"])
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.parts = regex.compile(split).findall
+        self.parts = regex.compile(r"\n|" + split).findall
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.marks = special
         self.gaps = regex.compile(r"\p{White_Space}+")
-        self.remembered, self.known = remembered, {}
-
-    def _normal(self, word: str) -> str:
-        if word.isascii():
-            return word.lower()
-        import unicodedata
+        self.remembered, self.known, self.pieces = remembered, {}, {}
 
+    @staticmethod
+    def _normal(text: str) -> str:
         # Character by character: no special form for a sigma at the end.
-        return unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.remembered:
-            self.known.clear()
-        words, pieces, owner, fixed = list(words), [], [], np.zeros(len(words), dtype=np.int64)
-        for i, w in enumerate(words):
-            plain_parts = [w]
-            if self.special and any(m in w for m in self.marks):
-                plain_parts = self.special.split(w)
-                fixed[i] = len(plain_parts) - 1
-            for p in plain_parts:
-                found = self.parts(self._normal(p))
-                pieces += found
-                owner += [i] * len(found)
-        unique = dict.fromkeys(pieces)
-        counts = dict(zip(unique, self.merger.count([u.encode() for u in unique]).tolist(), strict=True)) if unique else {}
-        np.add.at(fixed, np.array(owner, dtype=np.int64), np.array([counts[p] for p in pieces], dtype=np.int64))
+        """Count new words, all in one string: a line feed, which no word holds, ends each word."""
+        words = list(words)
+        fixed, parts = np.zeros(len(words), dtype=np.int64), words
+        if self.special and self.special.search("\n".join(words)):
+            # A special string is one token; what stands beside it is counted apart.
+            fixed += [len(self.special.findall(w)) for w in words]
+            parts = [self.special.sub(" ", w) for w in words]
+        pieces = self.parts(self._normal("\n".join(parts)))
+        if len(self.pieces) > self.remembered:
+            self.pieces.clear()
+        self.pieces["\n"] = -1
+        unique = list(set(pieces).difference(self.pieces))
+        self.pieces.update(zip(unique, self.merger.count([u.encode() for u in unique]).tolist(), strict=True))
+        found = np.fromiter(map(self.pieces.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        owner = np.cumsum(found < 0)
+        fixed += np.bincount(owner, weights=np.maximum(found, 0), minlength=len(words)).astype(np.int64)[: len(words)]
         self.known.update(zip(words, fixed.tolist(), strict=True))
 
     def words(self, text: str) -> list[str]:
@@ -156,7 +156,7 @@ class TextCounter:
         new: set[str] = set()
         for i, text in enumerate(texts):
             split.append(self.words(text))
-            new.update(w for w in set(split[-1]) if w not in self.known)
+            new |= set(split[-1]).difference(self.known)
             if len(new) > 20_000 or i == len(texts) - 1:
                 # Learning may forget the rest, so all words of these texts are learnt together then.
                 if len(self.known) + len(new) > self.remembered:
