@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding, tokencount
+from . import mixing, packing, quality_qda, quality_rules, sharding, simhash, tokencount
 from .common import read
 
 
@@ -10,9 +10,14 @@ def queries() -> dict:
     docs = lambda f: lambda spark, sf_dir: f(read(spark, sf_dir, "documents"))
     return {
         "op1_sharding": docs(sharding.digest),
+        "op4_simhash": docs(simhash.digest),
+        "op5_quality_classifier": lambda spark, sf_dir: quality_qda.digest(
+            read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+        ),
         "op6_quality_rules": docs(quality_rules.digest),
         "op7_token_counts": docs(tokencount.digest),
         "op8_mixing": docs(mixing.digest),
+        "op10_packing": docs(packing.digest),
     }
 
 
