@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The words of every contract here: runs of anything but space, tab, LF, VT, FF and CR.
-WORD_GAP = r"[\x20\x09-\x0D]+"
-GAPS = " \t\n\x0b\x0c\r"
 #: Most rows of a side that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 400_000
 _NO_ID = -(2**63)
@@ -63,12 +60,8 @@ def plain(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(plain(text), WORD_GAP), lambda w: w != "")
-
-
 def count_words(text: Column) -> Column:
-    """Number of words; null has none."""
+    """Number of words (runs of anything but space, tab, LF, VT, FF and CR); null has none."""
     return F.regexp_count(plain(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 

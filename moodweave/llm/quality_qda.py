@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAPS, plain, stage
-from .quality_rules import SYMBOLS, let
+from .common import plain, stage
+from .quality_rules import SYMBOLS, count_of, let, split_lines, split_words
 
 #: Shares of the pooled covariance and of the identity (in standardised units) in each class's.
 POOLED, IDENTITY = 0.2, 0.05
@@ -32,29 +32,30 @@ FEATURES = 9
 def statistics(text: Column) -> Column:
     """An array of ``FEATURES`` doubles for one text."""
     text = plain(text)
-    dropped = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("double")
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
+    count = lambda chars: count_of(text, chars).cast("double")
     chars = F.length(text).cast("double") + 1.0
-    full = F.filter(F.split(text, "\n"), lambda s: F.length(F.translate(s, GAPS, "")) > 0)
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    sizes = let(words, lambda w: F.struct(F.size(w).cast("double").alias("n"), F.size(F.array_distinct(w)).cast("double").alias("u")))
+    facts = lambda w: F.struct(
+        F.size(w).cast("double").alias("n"),
+        F.length(F.array_join(w, "")).cast("double").alias("chars"),
+        F.size(F.array_distinct(w)).cast("double").alias("u"),
+    )
     share = lambda x: F.log(x + 0.01)
 
     def all_of(s: Column) -> Column:
         n = s["n"] + 1.0
         return F.array(
             F.log(n),
-            F.log((chars - dropped(GAPS)) / n + 1.0),
-            share(dropped(SYMBOLS) / n),
-            share(dropped("!") / n),
+            F.log(s["chars"] / n + 1.0),
+            share(count(SYMBOLS) / n),
+            share(count("!") / n),
             share(count(r"\p{Lu}") / chars),
             F.log(s["u"] + 1.0) / F.log(s["n"] + 2.0),
-            let(full, lambda a: share((F.size(a) - F.size(F.array_distinct(a))).cast("double") / (F.size(a) + 1.0))),
-            share(dropped("0123456789") / chars),
-            share(dropped(".,;:?") / n),
+            let(split_lines(text), lambda a: share((F.size(a) - F.size(F.array_distinct(a))).cast("double") / (F.size(a) + 1.0))),
+            share(count("0-9") / chars),
+            share(count(".,;:?") / n),
         )
 
-    return let(sizes, all_of)
+    return let(let(split_words(text), facts), all_of)
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAPS, plain
+from .common import plain
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -28,57 +28,73 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _dropped(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def count_of(text: Column, chars: str) -> Column:
+    """How often the characters of a regular-expression class stand in the text."""
+    return F.regexp_count(text, F.lit(f"[{chars}]"))
+
+
+def split_words(text: Column) -> Column:
+    """The words of a text: all white space becomes spaces, as splitting at one character is cheap."""
+    return F.filter(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), lambda w: w != "")
+
+
+def split_lines(text: Column) -> Column:
+    """The lines that hold a word."""
+    return F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def window_hashes(words: Column) -> Column:
+    """A hash of each ``WINDOW``-word window, doubled up from hashes of words, pairs and fours."""
+
+    def doubled(hashes: Column, width: int) -> Column:
+        left = lambda h: F.greatest(F.size(h) - width, F.lit(0))
+        mixed = lambda a, b: F.xxhash64(a, b)
+        return let(hashes, lambda h: F.zip_with(F.slice(h, 1, left(h)), F.slice(h, width + 1, left(h)), mixed))
+
+    return doubled(doubled(doubled(F.transform(words, lambda w: F.xxhash64(w)), 1), 2), 4)
 
 
 def repeated_words(words: Column) -> Column:
     """Words inside ``WINDOW``-word windows that occur twice or more, the first one included.
 
-    Hashes of the windows tell whether any can repeat; only then the windows themselves are
-    sorted, so that equal ones are neighbours, and the positions they cover are summed.
+    Hashes of the windows tell whether any can repeat. Only then they are sorted, so that equal
+    windows are neighbours, these are compared word by word, and the positions they cover summed.
     """
-    starts = lambda w: F.sequence(F.lit(0), F.size(w) - WINDOW)
-    hashes = lambda w: F.transform(starts(w), lambda i: F.xxhash64(F.slice(w, i + 1, WINDOW)))
 
     def covered(at: Column) -> Column:
         following = F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.element_at(at, -1) + WINDOW))
         return F.aggregate(F.zip_with(at, following, lambda a, b: F.least(b - a, F.lit(WINDOW))), F.lit(0), lambda s, x: s + x)
 
-    def exact(w: Column) -> Column:
-        keyed = F.array_sort(
-            F.transform(starts(w), lambda i: F.struct(F.concat_ws(" ", F.slice(w, i + 1, WINDOW)).alias("w"), i.alias("i")))
-        )
-
-        def twice(s: Column) -> Column:
-            same = lambda e, j: (F.get(s, j)["w"] == e["w"])
-            hit = lambda e, j: F.coalesce(same(e, j - 1), F.lit(False)) | F.coalesce(same(e, j + 1), F.lit(False))
-            return F.array_sort(F.transform(F.filter(s, hit), lambda e: e["i"]))
-
-        return let(let(keyed, twice), lambda at: F.when(F.size(at) == 0, F.lit(0)).otherwise(covered(at)))
+    def positions(w: Column, hashes: Column) -> Column:
+        keyed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        window = lambda e: F.slice(w, e["i"] + 1, WINDOW)
+        same = lambda a, b: F.when(a["h"] == b["h"], window(a) == window(b)).otherwise(False)
+        hit = lambda s: lambda e, j: same(e, F.get(s, j - 1)) | same(e, F.get(s, j + 1))
+        twice = let(keyed, lambda s: F.transform(F.filter(s, hit(s)), lambda e: e["i"]))
+        return let(F.array_sort(twice), lambda at: F.when(F.size(at) == 0, F.lit(0)).otherwise(covered(at)))
 
-    def count(w: Column) -> Column:
-        may = let(hashes(w), lambda h: F.size(F.array_distinct(h)) < F.size(h))
-        return F.when(F.size(w) < WINDOW + 1, F.lit(0)).when(may, exact(w)).otherwise(F.lit(0))
+    def count(w: Column, hashes: Column) -> Column:
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), positions(w, h)).otherwise(F.lit(0)))
 
-    return let(words, count)
+    return let(words, lambda w: F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(count(w, window_hashes(w))))
 
 
 def with_base(docs: DataFrame) -> DataFrame:
     """Add the base statistics and ``base_failed`` to each row of ``docs``."""
     text = plain(F.col("text"))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda s: F.length(F.translate(s, GAPS, "")) > 0)
-    found = let(
-        words,
-        lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("repeat")),
+    facts = lambda w: F.struct(
+        F.size(w).cast("long").alias("n"),
+        F.length(F.array_join(w, "")).cast("long").alias("chars"),
+        repeated_words(w).cast("long").alias("repeat"),
     )
+    found = let(split_words(text), facts)
+    twice = let(split_lines(text), lambda s: F.size(s) - F.size(F.array_distinct(s)))
     return (
         docs.withColumn("_w", found)
         .withColumn("n_words", F.col("_w.n"))
-        .withColumn("word_chars", F.length(F.translate(text, GAPS, "")).cast("long"))
-        .withColumn("n_symbols", _dropped(text, SYMBOLS).cast("long"))
-        .withColumn("n_dup_lines", let(lines, lambda s: F.size(s) - F.size(F.array_distinct(s))).cast("long"))
+        .withColumn("word_chars", F.col("_w.chars"))
+        .withColumn("n_symbols", count_of(text, SYMBOLS).cast("long"))
+        .withColumn("n_dup_lines", twice.cast("long"))
         .withColumn("n_repeat_words", F.col("_w.repeat"))
         .drop("_w")
         .withColumn(
@@ -105,7 +121,7 @@ def default_rules() -> list[Rule]:
         Rule("symbols", F.lit(10) * F.col("n_symbols") > words, 1.0),
         Rule("word_length", (F.col("word_chars") > 25 * words) | (F.col("word_chars") < 2 * words), 1.0),
         Rule("dup_lines", F.lit(2) * F.col("n_dup_lines") > F.size(F.split(text, "\n")), 20.0),
-        Rule("shouting", F.lit(4) * _dropped(text, "!") > words, 10.0),
+        Rule("shouting", F.lit(4) * count_of(text, "!") > words, 10.0),
     ]
 
 
@@ -114,9 +130,11 @@ def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS)
 
     Ties, and rules that reject nothing there, keep the cheaper first, then the name's order.
     """
-    sample = docs.limit(sample_rows)
-    counts = with_base(sample.select("text")).agg(*[F.sum(r.rejects.cast("int")).alias(r.name) for r in rules]).first()
-    rate = {r.name: (counts[r.name] or 0) / r.cost for r in rules}
+    # Only flags come to the driver, from as few partitions as the rows of the sample need.
+    flags = with_base(docs.select("text")).select(*[r.rejects.cast("int").alias(r.name) for r in rules])
+    sample = flags.limit(sample_rows).collect()
+    counts = {r.name: sum(row[r.name] or 0 for row in sample) for r in rules}
+    rate = {r.name: counts[r.name] / r.cost for r in rules}
     return sorted(rules, key=lambda r: (-rate[r.name], r.cost, r.name))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_qda, quality_rules, sharding, simhash, tokencount
+from . import mixing, packing, pii, quality_qda, quality_rules, sharding, simhash, tokencount
 from .common import read
 
 
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op6_quality_rules": docs(quality_rules.digest),
         "op7_token_counts": docs(tokencount.digest),
         "op8_mixing": docs(mixing.digest),
+        "op9_pii": docs(pii.digest),
         "op10_packing": docs(packing.digest),
     }
 
