@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, packing, pii, quality_qda, quality_rules, sharding, simhash, tokencount
+from . import ann, linededup, mixing, packing, pii, quality_qda, quality_rules, sharding, simhash, tokencount
 from .common import read
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     docs = lambda f: lambda spark, sf_dir: f(read(spark, sf_dir, "documents"))
     return {
         "op1_sharding": docs(sharding.digest),
+        "op2_nearest_neighbours": lambda spark, sf_dir: ann.digest(read(spark, sf_dir, "embeddings")),
         "op3_line_dedup": docs(linededup.digest),
         "op4_simhash": docs(simhash.digest),
         "op5_quality_classifier": lambda spark, sf_dir: quality_qda.digest(
