@@ -6,6 +6,10 @@ small tries below one shared path; in each, node pairs are descended together, d
 add up and a pair is dropped once they exceed the budget. A trie emits a spanning forest of its
 links, never all pairs, and connected components of all forests give the groups.
 
+``near_duplicates`` links 64-bit fingerprints of four-word shingles at ``BUDGET`` bits. ``similar`` is for
+a shingle similarity: 128 bits of five-word shingles, where either half finds a pair within
+``WIDE_BUDGET`` bits and all 128 bits decide it.
+
 Defined results: null and wordless texts have fingerprint zero, which links like any other; rows
 with a null doc_id are fingerprinted and linked, but name no component (null if none of its rows
 has an id); repeated rows share a component; an empty table gives no rows; further columns are
@@ -27,47 +31,56 @@ from .common import checked, small_batches, stage
 from .components import components
 
 BITS, BUDGET, SHINGLE = 64, 4, 4
+#: For similarity: shingle words, bits by which a half may differ, and the similarity itself.
+WIDE_SHINGLE, WIDE_BUDGET, SIMILARITY = 5, 8, 0.8
 #: Fingerprints of one trie; a larger group is dealt as pairs of tries of this size.
 TRIE = 2000
-#: Nodes of so few fingerprints are leaves, compared bit by bit at once.
-LEAF = 16
+#: Nodes of so few fingerprints are leaves, compared with others all at once.
+LEAF = 96
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's word shingles."""
+def _narrow(shingle: bytes) -> bytes:
+    return xxhash.xxh64_digest(shingle, 42)
+
+
+def _wide(shingle: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(shingle, 42)
+
+
+def fingerprint(text: str | None, width: int = SHINGLE, digest=_narrow) -> bytes:
+    """The SimHash of a text's word shingles, most significant byte first; as long as a digest."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    size = len(digest(b""))
     if not words:
-        return 0
+        return bytes(size)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = (ends - [len(w) + 1 for w in words]).tolist()
     n = max(1, len(words) - width + 1)
     stops = (ends[len(words) - n :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[i:j], 42) for i, j in zip(starts, stops, strict=False)], dtype=np.uint64)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for k in range(0, n, 1 << 14):  # bounded memory for long texts
-        ones += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+    ones, step = np.zeros(8 * size, dtype=np.int64), 1 << 14
+    for k in range(0, n, step):  # bounded memory for long texts
+        hashes = b"".join([digest(line[i:j]) for i, j in zip(starts[k : k + step], stops[k : k + step], strict=False)])
+        bits = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, size), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (a signed long) of each row of ``docs``."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """doc_id, fp and other of each row of ``docs``: signed longs, ``other`` 0 unless ``wide``."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("fp long, other long")
+    def of(texts: pd.Series) -> pd.DataFrame:
         known: dict = {}
-        out = np.empty(len(texts), dtype=np.uint64)
-        for i, t in enumerate(texts):
+        for t in texts:
             if t not in known:
-                known[t] = fingerprint(t, width)
-            out[i] = known[t]
-        return pd.Series(out.view(np.int64))
+                known[t] = fingerprint(t, width, _wide if wide else _narrow)
+        found = np.frombuffer(b"".join([known[t] for t in texts]), dtype=">i8").astype(np.int64).reshape(len(texts), -1)
+        return pd.DataFrame({"fp": found[:, 0], "other": found[:, 1] if wide else np.zeros(len(texts), dtype=np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of("text").alias("fp"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of("text").alias("f")).select("doc_id", "f.fp", "f.other")
 
 
 class Forest:
@@ -87,18 +100,20 @@ class Forest:
             self.edges.append((i, j))
 
 
-def trie_links(fps: np.ndarray, budget: int = BUDGET, across: np.ndarray | None = None) -> list[tuple[int, int]]:
+def trie_links(
+    fps: np.ndarray, budget: int = BUDGET, sides: np.ndarray | None = None, other: np.ndarray | None = None, total: int = 0
+) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of positions that differ in ``budget`` bits or fewer.
 
-    ``fps``: sorted distinct uint64, read as the leaves of a binary trie, whose nodes are ranges.
-    Node pairs are descended together. ``across`` splits the positions in two; only pairs between
-    the two sides are then looked for.
+    ``fps``: sorted uint64, read as the leaves of a binary trie whose nodes are ranges. ``sides``: only
+    pairs between the two sides are looked for. ``other``: 64 more bits of each; a pair then also
+    has to differ in ``total`` bits or fewer of all 128.
     """
     forest = Forest(len(fps))
     todo = [(0, len(fps), 0, len(fps), BITS - 1, 0)]
     one = np.uint64(1)
 
-    def halves(lo: int, hi: int, bit: int) -> int:
+    def branch(lo: int, hi: int, bit: int) -> int:
         """Where the range's branch with this bit set begins."""
         return lo + int(np.searchsorted((fps[lo:hi] >> np.uint64(bit)) & one, 1))
 
@@ -106,24 +121,22 @@ def trie_links(fps: np.ndarray, budget: int = BUDGET, across: np.ndarray | None
         lo, hi, lo2, hi2, bit, apart = todo.pop()
         if lo == hi or lo2 == hi2 or apart > budget:
             continue
-        same = lo == lo2 and hi == hi2
-        if same and hi - lo == 1:
-            continue
         if bit < 0 or (hi - lo) * (hi2 - lo2) <= LEAF * LEAF:
-            for i in range(lo, hi):
-                start = max(lo2, i + 1) if same else lo2
-                near = np.bitwise_count(fps[start:hi2] ^ fps[i]) <= budget
-                near &= forest.label[start:hi2] != forest.label[i]
-                if across is not None:
-                    near &= across[start:hi2] != across[i]
-                for j in np.flatnonzero(near):
-                    forest.join(i, start + int(j))
+            x, y = slice(lo, hi), slice(lo2, hi2)
+            far = np.bitwise_count(fps[x, None] ^ fps[None, y])
+            near = (far <= budget) & (forest.label[x, None] != forest.label[None, y])
+            if sides is not None:
+                near &= sides[x, None] != sides[None, y]
+            if other is not None and near.any():
+                near &= far + np.bitwise_count(other[x, None] ^ other[None, y]) <= total
+            for i, j in np.argwhere(near).tolist():
+                forest.join(lo + i, lo2 + j)
             continue
-        mid, mid2 = halves(lo, hi, bit), halves(lo2, hi2, bit)
+        mid, mid2 = branch(lo, hi, bit), branch(lo2, hi2, bit)
         todo.append((lo, mid, lo2, mid2, bit - 1, apart))
         todo.append((mid, hi, mid2, hi2, bit - 1, apart))
         todo.append((lo, mid, mid2, hi2, bit - 1, apart + 1))
-        if not same:
+        if (lo, hi) != (lo2, hi2):
             todo.append((mid, hi, lo2, mid2, bit - 1, apart + 1))
     return forest.edges
 
@@ -135,62 +148,110 @@ def bands(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
 
 
-def links(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Edges (a, b) between class nodes whose components are those of all links. ``classes``: node, fp."""
+def _joined(budget: int, total: int, keys: list[str]):
+    """A function over batches sorted by ``keys`` that emits the forest of each group; a group is one trie."""
+
+    def forests(batches):
+        held: pd.DataFrame | None = None
+
+        def edges(rows: pd.DataFrame) -> pd.DataFrame:
+            node, own = rows["node"].to_numpy(), rows["own"].to_numpy()
+            fp, other = rows["fp"].to_numpy().view(np.uint64), rows["other"].to_numpy().view(np.uint64)
+            mixed = (rows["p"] != rows["q"]).to_numpy()
+            marks = rows[keys].to_numpy()
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi - lo > 1:
+                    at = lo + np.argsort(fp[lo:hi], kind="stable")
+                    found = trie_links(fp[at], budget, own[at] if mixed[lo] else None, other[at] if total else None, total)
+                    out += [(node[at[i]], node[at[j]]) for i, j in found]
+            return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            # The last group may go on in the next batch.
+            last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
+            start = len(rows) - int(np.argmin(last[::-1])) if not last.all() else 0
+            held = rows.iloc[start:]
+            if start:
+                yield edges(rows.iloc[:start])
+        if held is not None:
+            yield edges(held)
+
+    return forests
+
+
+def links(classes: DataFrame, budget: int = BUDGET, total: int = 0) -> DataFrame:
+    """Edges (a, b) between nodes whose components are those of all links. ``classes``: node, fp, other."""
+    small_batches(classes.sparkSession, 20_000)
     cuts = bands(budget)
     band = lambda i: F.shiftrightunsigned("fp", cuts[i][0]).bitwiseAND(F.lit((1 << cuts[i][1]) - 1))
     keys = [
-        F.lit(k << 48) + F.shiftleft(band(i), 24) + band(j)
-        for k, (i, j) in enumerate(combinations(range(len(cuts)), 2))
+        F.lit(k << 48) + F.shiftleft(band(i), 24) + band(j) for k, (i, j) in enumerate(combinations(range(len(cuts)), 2))
     ]
-    dealt = classes.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
-    # Most fingerprints are alone below a path; only the others go on.
+    dealt = classes.select("node", "fp", "other", F.explode(F.array(*keys)).alias("key"))
     crowd = dealt.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    # A trie of bearable size is joined where it was counted; a larger one is dealt as pairs of parts.
+    whole = crowd.where(F.col("n") <= TRIE).select("key", "node", "fp", "other", *[F.lit(0).alias(c) for c in ("p", "q", "own")])
     parts = F.ceil(F.col("n") / TRIE).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    split = crowd.where(F.col("n") > TRIE).withColumn("own", F.pmod(F.xxhash64("fp", "other"), parts).cast("int"))
     pairs = F.transform(
         F.sequence(F.lit(0), parts - 1),
         lambda p: F.struct(F.least(p, F.col("own")).alias("p"), F.greatest(p, F.col("own")).alias("q")),
     )
-    tries = crowd.withColumn("own", own).withColumn("pair", F.explode(pairs)).select("key", "pair.p", "pair.q", "own", "node", "fp")
-
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        fps = group["fp"].to_numpy().view(np.uint64)
-        order = np.argsort(fps, kind="stable")
-        node, own = group["node"].to_numpy()[order], group["own"].to_numpy()[order]
-        mixed = group["p"].iat[0] != group["q"].iat[0]
-        found = trie_links(fps[order], budget, own if mixed else None)
-        return pd.DataFrame([(node[i], node[j]) for i, j in found], columns=["a", "b"], dtype="int64")
-
-    return tries.groupBy("key", "p", "q").applyInPandas(joined, "a long, b long")
+    split = split.withColumn("pair", F.explode(pairs)).select("key", "node", "fp", "other", "pair.p", "pair.q", "own")
+    split = split.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    found = whole.sortWithinPartitions("key").mapInPandas(_joined(budget, total, ["key"]), "a long, b long")
+    return found.unionByName(split.mapInPandas(_joined(budget, total, ["key", "p", "q"]), "a long, b long"))
+
+
+def _grouped(rows: DataFrame, edges) -> DataFrame:
+    """doc_id, fp, other and component_id of ``rows``, given the edges between classes of equal fingerprints."""
+    # Classes have numbers of their own, as a class may have no id; components are named by the least id.
+    named = rows.groupBy("fp", "other").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    named = stage(named)
+    found = components(edges(named.select("node", "fp", "other")))
+    whole = named.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    ids = whole.groupBy("group").agg(F.min("least").alias("component_id"))
+    table = whole.select("fp", "other", "group").join(ids, "group").select("fp", "other", "component_id")
+    return rows.join(table, ["fp", "other"]).select("doc_id", "fp", "other", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links) of each row of ``docs``."""
-    rows = stage(fingerprints(docs, width))
-    # Classes of equal fingerprints, named by their own least id. A class without any id still carries
-    # links: it is named below all ids, by its fingerprint, and so must be renamed at the end.
-    named = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
-    found = components(links(named.select("node", "fp"), budget))
-    whole = named.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    ids = whole.groupBy("group").agg(F.min("least").alias("component_id"))
-    table = whole.select("fp", "group").join(ids, "group").select("fp", "component_id")
-    return rows.join(table, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(stage(fingerprints(docs, width)), lambda classes: links(classes, budget)).drop("other")
+
+
+def bits_at(similarity: float, bits: int = 2 * BITS) -> int:
+    """Bits in which fingerprints of texts of this shingle similarity differ, as the angle between them says."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar(docs: DataFrame, width: int = WIDE_SHINGLE, budget: int = WIDE_BUDGET, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id over links between texts whose 128 bits tell this shingle similarity or more."""
+    total = bits_at(similarity)
+    turned = lambda c: c.select("node", F.col("other").alias("fp"), F.col("fp").alias("other"))
+    both = lambda c: links(c, budget, total).unionByName(links(turned(c), budget, total))
+    return _grouped(stage(fingerprints(docs, width, wide=True)), both).select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int, budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` that represent their group: those with its least doc_id.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that represent their group of ``similar`` texts: those with its least doc_id.
 
     Rows with a null doc_id stay, as nothing names them; of rows that share a doc_id one stays if
     the id represents a group.
     """
-    rows = stage(near_duplicates(docs, width, budget).where("doc_id IS NOT NULL"))
-    gone = stage(rows.groupBy("doc_id").agg(F.max("component_id").alias("c"), F.count("*").alias("n")).where("c < doc_id OR n > 1"))
+    rows = similar(docs).where("doc_id IS NOT NULL")
+    gone = rows.groupBy("doc_id").agg(F.max("component_id").alias("c"), F.count("*").alias("n")).where("c < doc_id OR n > 1")
+    gone = stage(gone)
     out = docs.join(checked(gone.where("c < doc_id").select("doc_id")), "doc_id", "left_anti")
     again = gone.where("c = doc_id AND n > 1").select("doc_id")
     if again.isEmpty():
         return out.select(*docs.columns)
-    again = checked(stage(again))
+    again = checked(again)
     once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return out.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
