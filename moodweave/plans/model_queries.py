@@ -238,7 +238,8 @@ def scale_center_clip(spark, sf):
 def _gold(spark, sf):
     features = lexicon_features(spark, sf)
     docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("label"))
-    return docs.join(features, "doc_id")
+    # Read by several fits: the text and 24 numbers a document.
+    return docs.join(features, "doc_id").persist()
 
 
 def _fit_predict(train, test, estimator, names):
