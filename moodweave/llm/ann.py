@@ -98,6 +98,8 @@ def search(
     flags = rows.groupBy("embedding").agg(F.max("q").alias("q"))
     classes = stage(members.join(flags, "embedding").withColumn("cid", F.col("ids")[0]))
     n, n_queries = classes.agg(F.count("*"), F.count_if("q")).first()
+    if not n:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     drawn = classes.orderBy(F.xxhash64(F.lit(7), "cid"), "cid").limit(pivots).select("embedding").collect()
     table = np.array([r["embedding"] for r in drawn]).reshape(len(drawn), -1)
     table = table / np.sqrt((table * table).sum(axis=1, keepdims=True))

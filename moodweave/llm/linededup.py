@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import checked, id_key, plain, small_batches, stage
+from .quality_rules import let
 
 TAU, MIN_CHARS = 2, 24
 
@@ -135,38 +136,60 @@ def _hashes() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), F.col("line")).alias("h2")]
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """Pairs of distinct lines that share a key: h1, first place and the same of the earlier line."""
+def crowd(lines: DataFrame) -> DataFrame:
+    """The posts and probes (key, own, h1, did, line_no) of distinct lines whose key another line posts; staged."""
     posted = F.transform("keys.index", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own")))
     probed = F.transform("keys.probes", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own")))
-    dealt = lines.select("h1", "h2", "first", F.explode(F.concat(posted, probed)).alias("k")).select(
+    dealt = lines.select("h1", "first", F.explode(F.concat(posted, probed)).alias("k")).select(
         F.col("k.key").alias("key"), F.col("k.own").alias("own"), "h1", F.col("first.did").alias("did"), F.col("first.line_no").alias("line_no")
     )
     group = Window.partitionBy("key")
-    crowd = dealt.withColumn("n", F.count("*").over(group)).withColumn("posts", F.count_if("own").over(group))
-    crowd = stage(crowd.where("n > 1 AND posts > 0").drop("n", "posts"))
-    a, b = crowd.where("own").alias("a"), crowd.alias("b")
-    # Two posted lines meet once; a probing line meets every posted one. Spark splits hot keys of this join.
-    apart = (F.col("a.h1") < F.col("b.h1")) | (~F.col("b.own") & (F.col("a.h1") != F.col("b.h1")))
-    side = lambda t: F.struct(f"{t}.did", f"{t}.line_no", f"{t}.h1")
-    met = a.join(b.hint("merge"), F.col("a.key") == F.col("b.key")).where(apart)
-    return met.select(F.least(side("a"), side("b")).alias("x"), F.greatest(side("a"), side("b")).alias("y")).distinct()
+    found = dealt.withColumn("n", F.count("*").over(group)).withColumn("posts", F.count_if("own").over(group))
+    return stage(found.where("n > 1 AND posts > 0").drop("n", "posts"))
+
+
+def _parity(items: Column) -> Column:
+    """64 bits: whether an odd number of items falls to each."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    return F.aggregate(items, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
+
+
+def signatures(line: Column) -> Column:
+    """Parities of a line's characters and of its pairs of characters.
+
+    An edit flips at most two bits of the first and four of the second.
+    """
+    twos = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.concat(a, b))
+    return let(F.split(line, ""), lambda c: F.struct(_parity(c).alias("ones"), _parity(twos(c)).alias("twos")))
+
+
+def lines_of(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
+    """h1, line and signatures of the lines named by ``wanted`` (did, h1), from their documents; staged."""
+    by_doc = checked(stage(wanted.groupBy("did").agg(F.collect_set("h1").alias("hs"))))
+    here = docs.select(id_key(F.col("doc_id")).alias("did"), "text").join(by_doc, "did")
+    split = F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")
+    found = here.select("did", "hs", split).where(F.length("line") >= min_chars).withColumn("h1", F.xxhash64("line"))
+    found = found.where(F.array_contains("hs", F.col("h1"))).groupBy("h1").agg(F.any_value("line").alias("line"))
+    return stage(found.select("h1", "line", signatures(F.col("line")).alias("sig")))
 
 
 def links(docs: DataFrame, lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs (x earlier, y later; each did, line_no, h1) of distinct lines within the edit distance."""
     small_batches(docs.sparkSession, 2000)
-    pairs = stage(candidates(lines))
-    ends = pairs.select("x.*").unionByName(pairs.select("y.*")).distinct()
-    wanted = checked(stage(ends.groupBy("did").agg(F.collect_set("h1").alias("hs"))))
-    here = docs.select(id_key(F.col("doc_id")).alias("did"), "text").join(wanted, "did")
-    found = here.select("did", "hs", F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")).where(
-        F.length("line") >= min_chars
-    )
-    found = found.withColumn("h1", F.xxhash64("line")).where(F.array_contains("hs", F.col("h1")))
-    line_of = stage(found.groupBy("h1").agg(F.any_value("line").alias("line")))
-    left = line_of.select(F.col("h1").alias("xh"), F.col("line").alias("a"))
-    right = line_of.select(F.col("h1").alias("yh"), F.col("line").alias("b"))
+    near_keys = crowd(lines)
+    known = lines_of(docs, near_keys.select("did", "h1").distinct(), min_chars)
+    signed = near_keys.join(known.select("h1", "sig"), "h1")
+    a, b = signed.where("own").alias("a"), signed.alias("b")
+    # Two posted lines meet once; a probing line meets every posted one. Spark splits hot keys of this join,
+    # and what lines of a hot key differ in shows in their signatures, so few pairs leave it.
+    apart = (F.col("a.h1") < F.col("b.h1")) | (~F.col("b.own") & (F.col("a.h1") != F.col("b.h1")))
+    flips = lambda c: F.bit_count(F.col(f"a.sig.{c}").bitwiseXOR(F.col(f"b.sig.{c}")))
+    alike = (flips("ones") <= 2 * TAU) & (flips("twos") <= 4 * TAU)
+    met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & apart & alike)
+    side = lambda t: F.struct(f"{t}.did", f"{t}.line_no", f"{t}.h1")
+    pairs = stage(met.select(F.least(side("a"), side("b")).alias("x"), F.greatest(side("a"), side("b")).alias("y")).distinct())
+    left = known.select(F.col("h1").alias("xh"), F.col("line").alias("a"))
+    right = known.select(F.col("h1").alias("yh"), F.col("line").alias("b"))
     both = pairs.join(left, F.col("x.h1") == F.col("xh")).join(right, F.col("y.h1") == F.col("yh"))
 
     @F.pandas_udf("boolean")
@@ -198,10 +221,12 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, counted: str = "n_removed") -> DataFrame:
-    """``docs`` without the lines that go, and the number of them."""
-    small_batches(docs.sparkSession)
+    """``docs`` without the lines that go, and the number of them (in place of a column of that name)."""
     gone = removals(docs, min_chars)
-    joined = docs.withColumn("_did", id_key(F.col("doc_id"))).join(checked(gone.withColumnRenamed("did", "_did")), "_did", "left")
+    small_batches(docs.sparkSession)
+    # The whole row travels as one column, so that its names clash with none of ours.
+    rows = docs.select(id_key(F.col("doc_id")).alias("did"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(checked(gone), "did", "left")
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, numbers: pd.Series) -> pd.Series:
@@ -211,11 +236,13 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, counted: str = "n_removed
             out.append("\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop))
         return pd.Series(out, dtype=object)
 
-    changed = F.col("gone").isNotNull() & F.col("text").isNotNull()
+    changed = F.col("gone").isNotNull() & F.col("row.text").isNotNull()
     # Rows without removals never go through Python.
-    same = joined.where(~changed).withColumn(counted, F.lit(0).cast("long"))
-    cut = joined.where(changed).withColumn("text", kept("text", "gone")).withColumn(counted, F.size("gone").cast("long"))
-    return same.unionByName(cut).select(*docs.columns, counted)
+    same = joined.where(~changed).select("row", F.lit(0).cast("long").alias("removed"))
+    cut = joined.where(changed).withColumn("text", kept("row.text", "gone"))
+    cut = cut.select(F.col("row").withField("text", F.col("text")).alias("row"), F.size("gone").cast("long").alias("removed"))
+    names = [c for c in docs.columns if c != counted]
+    return same.unionByName(cut).select(*[F.col("row")[c].alias(c) for c in names], F.col("removed").alias(counted))
 
 
 def digest(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

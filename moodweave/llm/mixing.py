@@ -69,8 +69,9 @@ def plan(docs: DataFrame, seed: str = SEED, **law) -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = SEED, **law) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
-    taken = plan(docs, seed, **law).where("n_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*docs.columns)
+    # The whole row travels as one column, so that its names clash with none of the plan's.
+    taken = plan(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row")), seed, **law).where("n_copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select("_row.*")
 
 
 def digest(docs: DataFrame, seed: str = SEED) -> DataFrame:
