@@ -43,6 +43,12 @@ def split_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
 
 
+def repeats_before(words: Column) -> Column:
+    """Words that equal the word before them."""
+    twice = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: a == b)
+    return let(words, lambda w: F.when(F.size(w) < 2, F.lit(0)).otherwise(F.size(F.filter(twice(w), lambda x: x))))
+
+
 def window_hashes(words: Column) -> Column:
     """A hash of each ``WINDOW``-word window, doubled up from hashes of words, pairs and fours."""
 
@@ -121,6 +127,7 @@ def default_rules() -> list[Rule]:
         Rule("symbols", F.lit(10) * F.col("n_symbols") > words, 1.0),
         Rule("word_length", (F.col("word_chars") > 25 * words) | (F.col("word_chars") < 2 * words), 1.0),
         Rule("dup_lines", F.lit(2) * F.col("n_dup_lines") > F.size(F.split(text, "\n")), 20.0),
+        Rule("stutter", F.lit(4) * repeats_before(split_words(text)) > words, 100.0),
         Rule("shouting", F.lit(4) * count_of(text, "!") > words, 10.0),
     ]
 
@@ -175,13 +182,14 @@ WITH t AS (
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
          len(string_split(text, chr(10))) AS n_lines,
-         length(text) - length(replace(text, '!', '')) AS n_bangs
+         length(text) - length(replace(text, '!', '')) AS n_bangs,
+         len(list_filter(words, lambda x, i: i > 1 AND words[i - 1] = x)) AS n_stutters
   FROM w LEFT JOIN cov USING (rid)
 ), b AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars > 25 * n_words OR word_chars < 2 * n_words
-            OR 2 * n_dup_lines > n_lines OR 4 * n_bangs > n_words) AS kept
+            OR 2 * n_dup_lines > n_lines OR 4 * n_bangs > n_words OR 4 * n_stutters > n_words) AS kept
 FROM b
 """
