@@ -33,7 +33,7 @@ CAPACITY = 2048
 #: The id that closes each document.
 CLOSE = 0
 #: Groups of large lengths, and the share of the capacity above which a length is large.
-GROUPS, LARGE = 40, 0.125
+GROUPS, LARGE = 80, 0.125
 REMEMBERED = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
