@@ -83,3 +83,8 @@ def negated_words(matched: DataFrame, *by: str) -> DataFrame:
 
 def vocabulary_size(lexicon: DataFrame) -> DataFrame:
     return lexicon.agg(F.count_distinct("word").alias("n_words"))
+
+
+def fitted_width(features: Column, width: int) -> Column:
+    """A feature array cut, or filled with zeros on the right, to the width that a model expects."""
+    return F.slice(F.concat(features, F.array_repeat(F.lit(0.0), width)), 1, width)

@@ -31,3 +31,11 @@ def test_compatible_width_and_empty(spark):
     out = emotions.lexicon_features(docs, fallback_lexicon(spark), compatible=True)
     assert out.columns[1:] == list(emotions.FEATURES[:21])
     assert out.count() == 0
+
+
+def test_fitted_width(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([([1.0, 2.0, 3.0],)], "x array<double>")
+    row = rows.select(emotions.fitted_width(F.col("x"), 2).alias("a"), emotions.fitted_width(F.col("x"), 4).alias("b")).first()
+    assert (row["a"], row["b"]) == ([1.0, 2.0], [1.0, 2.0, 3.0, 0.0])
