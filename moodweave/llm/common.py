@@ -46,9 +46,9 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 def checked(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` marked for broadcast if it has at most ``limit`` rows, else as it is.
 
-    ``small`` should be staged and narrow: it is counted first.
+    ``small`` should be staged and narrow: it is counted first, from the footers of its files.
     """
-    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small.hint("merge")
+    return F.broadcast(small) if small.count() <= limit else small.hint("merge")
 
 
 def id_key(col: Column) -> Column:
