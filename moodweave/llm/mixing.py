@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import count_words, unit_hash
+from .common import checked, count_words, stage, unit_hash
 
 SEED = "mix-1"
 WEIGHTS = (3, 1, 2)
@@ -61,8 +61,9 @@ def plan(docs: DataFrame, seed: str = SEED, **law) -> DataFrame:
     """Each row of ``docs`` with size, source_size, target and n_copies, one row per input row."""
     sized = docs.withColumn("size", count_words(F.col("text")))
     per_source = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    law = targets(per_source, **law).withColumnRenamed("source", "_source")
-    joined = sized.join(law, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # A row per source: with few sources no text is shuffled, with very many Spark splits hot ones.
+    law = stage(targets(per_source, **law).withColumnRenamed("source", "_source"))
+    joined = sized.join(checked(law), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return joined.withColumn("n_copies", copies(rate, seed, F.col("doc_id")))
 
