@@ -5,13 +5,13 @@ Lines of at least ``MIN_CHARS`` characters are grouped by equal text. Each disti
 the ``TAU`` next smaller lengths, the substrings that multi-match-aware position windows allow.
 Two lines within the edit distance share such a key at least once. Candidates are verified by a
 banded bit-parallel edit distance. An occurrence of a line goes if it isn't the first of its text, or
-if a line within the edit distance stands first at an earlier place; places are ordered by doc_id
-and line number.
+if a line within the edit distance stands first at an earlier place; places are ordered by doc_id,
+a hash of the whole text and line number, so that a removal only reaches the text it was found in.
 
 Defined results: a null or empty text has one empty line and keeps it (a null text stays null);
-shorter lines always stay; rows that repeat a doc_id with the same text share their places, so
-they change alike; a null doc_id orders before all others; an empty table gives no rows; further
-columns are kept.
+shorter lines always stay; rows that repeat a doc_id (or its absence) with the same text share their
+places, so they change alike, and with different texts have places of their own; a null doc_id
+orders before all others; an empty table gives no rows; further columns are kept.
 """
 
 from __future__ import annotations
@@ -119,15 +119,20 @@ def keys(line: Column) -> Column:
     return F.struct(F.array(*index).alias("index"), F.array(*probes).alias("probes"))
 
 
+def _row() -> list[Column]:
+    """did and tid: ids may be null or shared, so a text is told by its id and its hash."""
+    return [id_key(F.col("doc_id")).alias("did"), F.xxhash64(plain(F.col("text"))).alias("tid")]
+
+
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """did, line_no, line of each line that takes part."""
-    lines = docs.select(id_key(F.col("doc_id")).alias("did"), F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
+    """did, tid, line_no, line of each line that takes part."""
+    lines = docs.select(*_row(), F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
     return lines.where(F.length("line") >= min_chars)
 
 
 def texts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """A row per distinct line: its 128-bit hash (h1, h2), first place, number of lines and its keys."""
-    rows = occurrences(docs, min_chars).select(*_hashes(), F.struct("did", "line_no").alias("place"), keys(F.col("line")).alias("keys"))
+    rows = occurrences(docs, min_chars).select(*_hashes(), F.struct("did", "tid", "line_no").alias("place"), keys(F.col("line")).alias("keys"))
     # The keys depend on the text alone; the grouping keeps one copy and never the text itself.
     return rows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys"))
 
@@ -137,12 +142,10 @@ def _hashes() -> list[Column]:
 
 
 def crowd(lines: DataFrame) -> DataFrame:
-    """The posts and probes (key, own, h1, did, line_no) of distinct lines whose key another line posts; staged."""
+    """The posts and probes (key, own, h1) of distinct lines whose key another line posts; staged."""
     posted = F.transform("keys.index", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own")))
     probed = F.transform("keys.probes", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own")))
-    dealt = lines.select("h1", "first", F.explode(F.concat(posted, probed)).alias("k")).select(
-        F.col("k.key").alias("key"), F.col("k.own").alias("own"), "h1", F.col("first.did").alias("did"), F.col("first.line_no").alias("line_no")
-    )
+    dealt = lines.select("h1", F.explode(F.concat(posted, probed)).alias("k")).select("k.key", "k.own", "h1")
     group = Window.partitionBy("key")
     found = dealt.withColumn("n", F.count("*").over(group)).withColumn("posts", F.count_if("own").over(group))
     return stage(found.where("n > 1 AND posts > 0").drop("n", "posts"))
@@ -164,20 +167,22 @@ def signatures(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
-    """h1, line and signatures of the lines named by ``wanted`` (did, h1), from their documents; staged."""
-    by_doc = checked(stage(wanted.groupBy("did").agg(F.collect_set("h1").alias("hs"))))
-    here = docs.select(id_key(F.col("doc_id")).alias("did"), "text").join(by_doc, "did")
+    """h1, first, line and signatures of the lines named by ``wanted`` (h1, first), from their documents; staged."""
+    by_doc = wanted.groupBy("first.did", "first.tid").agg(F.collect_set("h1").alias("hs"))
+    here = docs.select(*_row(), "text").join(checked(stage(by_doc)), ["did", "tid"])
     split = F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")
-    found = here.select("did", "hs", split).where(F.length("line") >= min_chars).withColumn("h1", F.xxhash64("line"))
-    found = found.where(F.array_contains("hs", F.col("h1"))).groupBy("h1").agg(F.any_value("line").alias("line"))
-    return stage(found.select("h1", "line", signatures(F.col("line")).alias("sig")))
+    found = here.select("did", "tid", "hs", split).where(F.length("line") >= min_chars).withColumn("h1", F.xxhash64("line"))
+    first = F.min(F.struct("did", "tid", "line_no")).alias("first")
+    found = found.where(F.array_contains("hs", F.col("h1"))).groupBy("h1").agg(first, F.any_value("line").alias("line"))
+    return stage(found.select("h1", "first", "line", signatures(F.col("line")).alias("sig")))
 
 
 def links(docs: DataFrame, lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (x earlier, y later; each did, line_no, h1) of distinct lines within the edit distance."""
+    """Pairs (x earlier, y later; each first, h1) of distinct lines within the edit distance."""
     small_batches(docs.sparkSession, 2000)
     near_keys = crowd(lines)
-    known = lines_of(docs, near_keys.select("did", "h1").distinct(), min_chars)
+    wanted = near_keys.select("h1").distinct().join(lines.select("h1", "first"), "h1")
+    known = lines_of(docs, wanted, min_chars)
     signed = near_keys.join(known.select("h1", "sig"), "h1")
     a, b = signed.where("own").alias("a"), signed.alias("b")
     # Two posted lines meet once; a probing line meets every posted one. Spark splits hot keys of this join,
@@ -186,17 +191,15 @@ def links(docs: DataFrame, lines: DataFrame, min_chars: int = MIN_CHARS) -> Data
     flips = lambda c: F.bit_count(F.col(f"a.sig.{c}").bitwiseXOR(F.col(f"b.sig.{c}")))
     alike = (flips("ones") <= 2 * TAU) & (flips("twos") <= 4 * TAU)
     met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & apart & alike)
-    side = lambda t: F.struct(f"{t}.did", f"{t}.line_no", f"{t}.h1")
-    pairs = stage(met.select(F.least(side("a"), side("b")).alias("x"), F.greatest(side("a"), side("b")).alias("y")).distinct())
-    left = known.select(F.col("h1").alias("xh"), F.col("line").alias("a"))
-    right = known.select(F.col("h1").alias("yh"), F.col("line").alias("b"))
-    both = pairs.join(left, F.col("x.h1") == F.col("xh")).join(right, F.col("y.h1") == F.col("yh"))
+    pairs = stage(met.select(F.least("a.h1", "b.h1").alias("ah"), F.greatest("a.h1", "b.h1").alias("bh")).distinct())
+    side = lambda t: known.select(F.col("h1").alias(f"{t}h"), F.struct("first", "h1").alias(f"{t}at"), F.col("line").alias(t))
+    both = pairs.join(side("a"), "ah").join(side("b"), "bh")
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within(s, t) for s, t in zip(a, b, strict=True)], dtype=bool)
 
-    return both.where(near("a", "b")).select("x", "y")
+    return both.where(near("a", "b")).select(F.least("aat", "bat").alias("x"), F.greatest("aat", "bat").alias("y"))
 
 
 def judged(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -213,11 +216,11 @@ def judged(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """did and the sorted numbers of its lines that go; staged."""
-    rows = occurrences(docs, min_chars).select("did", "line_no", *_hashes())
+    """did, tid and the sorted numbers of the text's lines that go; staged."""
+    rows = occurrences(docs, min_chars).select("did", "tid", "line_no", *_hashes())
     marked = judged(docs, min_chars)
-    gone = rows.join(checked(marked), ["h1", "h2"]).where(F.col("near") | (F.struct("did", "line_no") != F.col("first")))
-    return stage(gone.groupBy("did").agg(F.sort_array(F.collect_set("line_no")).alias("gone")))
+    gone = rows.join(checked(marked), ["h1", "h2"]).where(F.col("near") | (F.struct("did", "tid", "line_no") != F.col("first")))
+    return stage(gone.groupBy("did", "tid").agg(F.sort_array(F.collect_set("line_no")).alias("gone")))
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, counted: str = "n_removed") -> DataFrame:
@@ -225,8 +228,8 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, counted: str = "n_removed
     gone = removals(docs, min_chars)
     small_batches(docs.sparkSession)
     # The whole row travels as one column, so that its names clash with none of ours.
-    rows = docs.select(id_key(F.col("doc_id")).alias("did"), F.struct(*docs.columns).alias("row"))
-    joined = rows.join(checked(gone), "did", "left")
+    rows = docs.select(*_row(), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(checked(gone), ["did", "tid"], "left")
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, numbers: pd.Series) -> pd.Series:
@@ -252,13 +255,13 @@ def digest(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     not take part is null.
     """
     split = F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")
-    rows = docs.select("doc_id", id_key(F.col("doc_id")).alias("did"), split)
+    rows = docs.select("doc_id", *_row(), split)
     short = rows.where(F.length("line") < min_chars).select(
         "doc_id", "line_no", F.lit(None).cast("long").alias("class_doc_id"), F.lit(None).cast("int").alias("class_line_no"),
         F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("removed"),
     )
-    long = rows.where(F.length("line") >= min_chars).select("doc_id", "did", "line_no", *_hashes())
-    place = F.struct("did", "line_no")
+    long = rows.where(F.length("line") >= min_chars).select("doc_id", "did", "tid", "line_no", *_hashes())
+    place = F.struct("did", "tid", "line_no")
     known = long.join(checked(judged(docs, min_chars)), ["h1", "h2"], "left").withColumn("at", F.coalesce("first", place))
     named = F.when(F.col("at.did") == id_key(F.lit(None)), F.lit(None)).otherwise(F.col("at.did"))
     return short.unionByName(

@@ -164,6 +164,17 @@ def test_line_dedup(spark):
         assert out[key(i)]["text"] == keep and out[key(i)]["gone"] == "z"
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    line = lambda c: c * 30
+    rows = [(i, "\n".join(line(c) for c in text)) for i in (None, 4) for text in ("abc", "dbe", "fgc")]
+    rows = [(i, t if i is None else t.upper()) for i, t in rows] + [(None, line("h")), (None, line("h") + "\n" + line("h"))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [x for r in linededup.dedup(table).collect() for x in r["text"].split("\n") if x]
+    assert sorted(left) == sorted({x for _, t in rows for x in t.split("\n")})  # every line once, and none lost
+    kept = Counter((r["doc_id"], r["removed"]) for r in linededup.digest(table).collect())
+    assert kept == {(None, False): 8, (None, True): 4, (4, False): 7, (4, True): 2}
+
+
 def test_fingerprints_and_groups(spark, docs):
     rows = pairs(docs)
 
