@@ -60,6 +60,11 @@ def plain(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def row_key() -> list[Column]:
+    """did and tid: ids may be null or shared, so a row is told by its id and the hash of its text."""
+    return [id_key(F.col("doc_id")).alias("did"), F.xxhash64(plain(F.col("text"))).alias("tid")]
+
+
 def count_words(text: Column) -> Column:
     """Number of words (runs of anything but space, tab, LF, VT, FF and CR); null has none."""
     return F.regexp_count(plain(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked, id_key, plain, small_batches, stage
+from .common import checked, id_key, plain, row_key, small_batches, stage
 from .quality_rules import let
 
 TAU, MIN_CHARS = 2, 24
@@ -119,14 +119,9 @@ def keys(line: Column) -> Column:
     return F.struct(F.array(*index).alias("index"), F.array(*probes).alias("probes"))
 
 
-def _row() -> list[Column]:
-    """did and tid: ids may be null or shared, so a text is told by its id and its hash."""
-    return [id_key(F.col("doc_id")).alias("did"), F.xxhash64(plain(F.col("text"))).alias("tid")]
-
-
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """did, tid, line_no, line of each line that takes part."""
-    lines = docs.select(*_row(), F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
+    lines = docs.select(*row_key(), F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
     return lines.where(F.length("line") >= min_chars)
 
 
@@ -169,7 +164,7 @@ def signatures(line: Column) -> Column:
 def lines_of(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
     """h1, first, line and signatures of the lines named by ``wanted`` (h1, first), from their documents; staged."""
     by_doc = wanted.groupBy("first.did", "first.tid").agg(F.collect_set("h1").alias("hs"))
-    here = docs.select(*_row(), "text").join(checked(stage(by_doc)), ["did", "tid"])
+    here = docs.select(*row_key(), "text").join(checked(stage(by_doc)), ["did", "tid"])
     split = F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")
     found = here.select("did", "tid", "hs", split).where(F.length("line") >= min_chars).withColumn("h1", F.xxhash64("line"))
     first = F.min(F.struct("did", "tid", "line_no")).alias("first")
@@ -228,7 +223,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, counted: str = "n_removed
     gone = removals(docs, min_chars)
     small_batches(docs.sparkSession)
     # The whole row travels as one column, so that its names clash with none of ours.
-    rows = docs.select(*_row(), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(*row_key(), F.struct(*docs.columns).alias("row"))
     joined = rows.join(checked(gone), ["did", "tid"], "left")
 
     @F.pandas_udf("string")
@@ -255,7 +250,7 @@ def digest(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     not take part is null.
     """
     split = F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")
-    rows = docs.select("doc_id", *_row(), split)
+    rows = docs.select("doc_id", *row_key(), split)
     short = rows.where(F.length("line") < min_chars).select(
         "doc_id", "line_no", F.lit(None).cast("long").alias("class_doc_id"), F.lit(None).cast("int").alias("class_line_no"),
         F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("removed"),

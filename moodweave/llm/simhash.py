@@ -13,7 +13,8 @@ a shingle similarity: 128 bits of five-word shingles, where either half finds a
 Defined results: null and wordless texts have fingerprint zero, which links like any other; rows
 with a null doc_id are fingerprinted and linked, but name no component (null if none of its rows
 has an id); repeated rows share a component; an empty table gives no rows; further columns are
-ignored.
+ignored. ``keep_one`` keeps all columns and, of rows that share a doc_id, every one whose text is like
+no other.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked, small_batches, stage
+from .common import checked, id_key, row_key, small_batches, stage
 from .components import components
 
 BITS, BUDGET, SHINGLE = 64, 4, 4
@@ -48,9 +49,13 @@ def _wide(shingle: bytes) -> bytes:
     return xxhash.xxh3_128_digest(shingle, 42)
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
 def fingerprint(text: str | None, width: int = SHINGLE, digest=_narrow) -> bytes:
     """The SimHash of a text's word shingles, most significant byte first; as long as a digest."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    words = _words(text)
     size = len(digest(b""))
     if not words:
         return bytes(size)
@@ -67,20 +72,19 @@ def fingerprint(text: str | None, width: int = SHINGLE, digest=_narrow) -> bytes
     return np.packbits(2 * ones > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """doc_id, fp and other of each row of ``docs``: signed longs, ``other`` 0 unless ``wide``."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, fp and other of each row of ``docs``: signed longs, ``other`` 0."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("fp long, other long")
-    def of(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
         known: dict = {}
         for t in texts:
             if t not in known:
-                known[t] = fingerprint(t, width, _wide if wide else _narrow)
-        found = np.frombuffer(b"".join([known[t] for t in texts]), dtype=">i8").astype(np.int64).reshape(len(texts), -1)
-        return pd.DataFrame({"fp": found[:, 0], "other": found[:, 1] if wide else np.zeros(len(texts), dtype=np.int64)})
+                known[t] = fingerprint(t, width)
+        return pd.Series(np.frombuffer(b"".join([known[t] for t in texts]), dtype=">i8").astype(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of("text").alias("f")).select("doc_id", "f.fp", "f.other")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of("text").alias("fp"), F.lit(0).cast("long").alias("other"))
 
 
 class Forest:
@@ -230,30 +234,60 @@ def bits_at(similarity: float, bits: int = 2 * BITS) -> int:
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def marks(docs: DataFrame, width: int = WIDE_SHINGLE) -> DataFrame:
+    """did and tid of each row, a hash (c, d) of its words in order, and its 128 bits (fp, other)."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("c long, d long, fp long, other long")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        known: dict = {}
+        for t in texts:
+            if t not in known:
+                known[t] = _wide(b" ".join(_words(t))) + fingerprint(t, width, _wide)
+        found = np.frombuffer(b"".join([known[t] for t in texts]), dtype=">i8").astype(np.int64).reshape(len(texts), -1)
+        return pd.DataFrame(found, columns=["c", "d", "fp", "other"])
+
+    return docs.select(*row_key(), of("text").alias("f")).select("did", "tid", "f.*")
+
+
 def similar(docs: DataFrame, width: int = WIDE_SHINGLE, budget: int = WIDE_BUDGET, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id over links between texts whose 128 bits tell this shingle similarity or more."""
+    """did, tid, their number of rows n, and the group of texts whose 128 bits tell this shingle similarity or more; staged."""
     total = bits_at(similarity)
     turned = lambda c: c.select("node", F.col("other").alias("fp"), F.col("fp").alias("other"))
-    both = lambda c: links(c, budget, total).unionByName(links(turned(c), budget, total))
-    return _grouped(stage(fingerprints(docs, width, wide=True)), both).select("doc_id", "component_id")
+    rows = stage(marks(docs, width))
+    # Texts of the same words are one node.
+    nodes = rows.groupBy("c", "d").agg(*[F.any_value(x).alias(x) for x in ("fp", "other")])
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()))
+    found = components(links(nodes, budget, total).unionByName(links(turned(nodes), budget, total)))
+    whole = nodes.join(found, "node", "left").select("c", "d", F.coalesce("component", "node").alias("group"))
+    units = rows.groupBy("did", "tid").agg(*[F.any_value(x).alias(x) for x in ("c", "d")], F.count("*").alias("n"))
+    return stage(units.join(whole, ["c", "d"]).select("did", "tid", "n", "group"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that represent their group of ``similar`` texts: those with its least doc_id.
+    """The rows of ``docs`` that represent their group of ``similar`` texts: one with the group's least doc_id.
 
-    Rows with a null doc_id stay, as nothing names them; of rows that share a doc_id one stays if
-    the id represents a group.
+    Rows are told by doc_id and text, so that rows which share an id go only with texts like their own. As
+    no id tells whether a row without one is a document of its own, one such row of a group stays too.
     """
-    rows = similar(docs).where("doc_id IS NOT NULL")
-    gone = rows.groupBy("doc_id").agg(F.max("component_id").alias("c"), F.count("*").alias("n")).where("c < doc_id OR n > 1")
-    gone = stage(gone)
-    out = docs.join(checked(gone.where("c < doc_id").select("doc_id")), "doc_id", "left_anti")
-    again = gone.where("c = doc_id AND n > 1").select("doc_id")
+    units = similar(docs)
+    least = units.groupBy("group", (F.col("did") == id_key(F.lit(None))).alias("nameless")).agg(
+        F.min(F.struct("did", "tid")).alias("least"), F.sum("n").alias("all")
+    )
+    crowded = least.where("all > 1").select("group", "least")
+    named = F.col("least.did") == F.col("did")
+    judged = units.join(crowded, "group").where((F.col("did") == id_key(F.lit(None))) == (F.col("least.did") == id_key(F.lit(None))))
+    judged = stage(judged.select("did", "tid", "n", (named & (F.col("least.tid") == F.col("tid"))).alias("stays")))
+    # The whole row travels as one column, so that its names clash with none of ours.
+    rows = docs.select(*row_key(), F.struct(*docs.columns).alias("row"))
+    back = lambda x: x.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    out = rows.join(checked(stage(judged.where("NOT stays").select("did", "tid"))), ["did", "tid"], "left_anti")
+    again = stage(judged.where("stays AND n > 1").select("did", "tid"))
     if again.isEmpty():
-        return out.select(*docs.columns)
+        return back(out)
     again = checked(again)
-    once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    once = out.join(again, ["did", "tid"], "left_semi").dropDuplicates(["did", "tid"])
+    return back(out.join(again, ["did", "tid"], "left_anti").unionByName(once))
 
 
 def digest(docs: DataFrame) -> DataFrame:

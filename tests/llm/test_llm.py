@@ -257,6 +257,15 @@ def test_similar_texts(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 10, 20, 30, 40, 50]
 
 
+def test_rows_that_share_an_id_are_kept_by_their_texts(spark):
+    rng = random.Random(9)
+    text = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(5)]
+    rows = [(0, text[0]), (0, text[1]), (0, text[1]), (7, text[1]), (0, text[2]), (None, text[3]), (None, text[3]), (None, text[3].upper()), (None, text[4]), (8, text[4])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r["doc_id"], r["text"].lower()) for r in kept.collect())
+    assert got == {(0, text[0]): 1, (0, text[1]): 1, (0, text[2]): 1, (None, text[3]): 1, (None, text[4]): 1, (8, text[4]): 1}
+
+
 def test_classifier(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("etaoin") for _ in range(rng.randint(2, 8)))
