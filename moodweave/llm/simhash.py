@@ -7,8 +7,9 @@ add up and a pair is dropped once they exceed the budget. A trie emits a spannin
 links, never all pairs, and connected components of all forests give the groups.
 
 ``near_duplicates`` links 64-bit fingerprints of four-word shingles at ``BUDGET`` bits. ``similar`` is for
-a shingle similarity: 128 bits of five-word shingles, where either half finds a pair within
-``WIDE_BUDGET`` bits and all 128 bits decide it.
+a shingle similarity: 256 bits of five-word shingles in four parts, where any part that differs in
+``WIDE_BUDGET`` bits or fewer finds a candidate, and the next part drops those far below the
+similarity. Within components of candidates the exact similarity of the shingle sets decides.
 
 Defined results: null and wordless texts have fingerprint zero, which links like any other; rows
 with a null doc_id are fingerprinted and linked, but name no component (null if none of its rows
@@ -32,8 +33,12 @@ from .common import checked, id_key, row_key, small_batches, stage
 from .components import components
 
 BITS, BUDGET, SHINGLE = 64, 4, 4
-#: For similarity: shingle words, bits by which a half may differ, and the similarity itself.
-WIDE_SHINGLE, WIDE_BUDGET, SIMILARITY = 5, 8, 0.8
+#: For similarity: shingle words, bits by which a part may differ, the similarity itself, and that of candidates.
+WIDE_SHINGLE, WIDE_BUDGET, SIMILARITY, CANDIDATE = 5, 9, 0.8, 0.65
+#: Parts of a wide fingerprint, of 64 bits each.
+PARTS = ("f0", "f1", "f2", "f3")
+#: Texts of one task that compares shingles; a larger group is dealt as pairs of such parts.
+CROWD = 400
 #: Fingerprints of one trie; a larger group is dealt as pairs of tries of this size.
 TRIE = 2000
 #: Nodes of so few fingerprints are leaves, compared with others all at once.
@@ -46,24 +51,46 @@ def _narrow(shingle: bytes) -> bytes:
 
 
 def _wide(shingle: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(shingle, 42)
+    return xxhash.xxh3_128_digest(shingle, 42) + xxhash.xxh3_128_digest(shingle, 43)
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
+def _cuts(words: list[bytes], width: int) -> tuple[bytes, list[int], list[int]]:
+    """The words as one line, and where in it each shingle starts and ends; fewer words are one shingle."""
+    ends = np.cumsum([len(w) + 1 for w in words])
+    n = max(1, len(words) - width + 1)
+    return b" ".join(words), (ends - [len(w) + 1 for w in words])[:n].tolist(), (ends[len(words) - n :] - 1).tolist()
+
+
+def shingles(text: str | None, width: int = WIDE_SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles; none if it has no words."""
+    words = _words(text)
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    line, starts, stops = _cuts(words, width)
+    return np.unique(np.array([xxhash.xxh64_intdigest(line[i:j], 42) for i, j in zip(starts, stops, strict=True)], dtype=np.uint64))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity of two shingle sets is ``similarity`` or more; empty sets are alike."""
+    few, many = sorted((len(a), len(b)))
+    if few < similarity * many - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (few + many - both) - 1e-9
+
+
 def fingerprint(text: str | None, width: int = SHINGLE, digest=_narrow) -> bytes:
     """The SimHash of a text's word shingles, most significant byte first; as long as a digest."""
     words = _words(text)
     size = len(digest(b""))
     if not words:
         return bytes(size)
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words]).tolist()
-    n = max(1, len(words) - width + 1)
-    stops = (ends[len(words) - n :] - 1).tolist()
+    line, starts, stops = _cuts(words, width)
+    n = len(starts)
     ones, step = np.zeros(8 * size, dtype=np.int64), 1 << 14
     for k in range(0, n, step):  # bounded memory for long texts
         hashes = b"".join([digest(line[i:j]) for i, j in zip(starts[k : k + step], stops[k : k + step], strict=False)])
@@ -235,30 +262,78 @@ def bits_at(similarity: float, bits: int = 2 * BITS) -> int:
 
 
 def marks(docs: DataFrame, width: int = WIDE_SHINGLE) -> DataFrame:
-    """did and tid of each row, a hash (c, d) of its words in order, and its 128 bits (fp, other)."""
+    """did and tid of each row, a hash (c, d) of its words in order, and its 256 bits in ``PARTS``."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("c long, d long, fp long, other long")
+    @F.pandas_udf(", ".join(f"{x} long" for x in ("c", "d", *PARTS)))
     def of(texts: pd.Series) -> pd.DataFrame:
         known: dict = {}
         for t in texts:
             if t not in known:
-                known[t] = _wide(b" ".join(_words(t))) + fingerprint(t, width, _wide)
+                known[t] = xxhash.xxh3_128_digest(b" ".join(_words(t)), 42) + fingerprint(t, width, _wide)
         found = np.frombuffer(b"".join([known[t] for t in texts]), dtype=">i8").astype(np.int64).reshape(len(texts), -1)
-        return pd.DataFrame(found, columns=["c", "d", "fp", "other"])
+        return pd.DataFrame(found, columns=["c", "d", *PARTS])
 
     return docs.select(*row_key(), of("text").alias("f")).select("did", "tid", "f.*")
 
 
+def candidates(nodes: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
+    """Edges whose components hold each pair that some part of the fingerprint finds. ``nodes``: node and ``PARTS``."""
+    total, found = bits_at(CANDIDATE), None
+    for x, y in zip(PARTS, [*PARTS[1:], PARTS[0]], strict=True):
+        one = links(nodes.select("node", F.col(x).alias("fp"), F.col(y).alias("other")), budget, total)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def verified(texts: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) whose components are those of all alike pairs within a group. ``texts``: staged group, node, text."""
+    small_batches(texts.sparkSession, 100)
+    sizes = texts.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > CROWD)
+    parts = F.ceil(F.coalesce("size", F.lit(1)) / CROWD).cast("int")
+    dealt = texts.join(checked(stage(sizes)), "group", "left").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("p"), F.greatest(p, F.col("own")).alias("q"))
+    )
+    keys = ["group", "p", "q"]
+    dealt = dealt.withColumn("pair", F.explode(pairs)).select("group", "node", "text", "own", "pair.p", "pair.q")
+
+    def edges(batches):
+        at, seen, forest = None, [], []
+        for batch in batches:
+            for group, node, text, own, p, q in batch.itertuples(index=False):
+                if (group, p, q) != at:
+                    at, seen, forest = (group, p, q), [], {}
+                mine, linked, found = shingles(text, width), set(), []
+                for other, theirs, side in seen:
+                    # Texts joined already aren't compared again; parts of their own are compared in a task of their own.
+                    if (p == q or side != own) and forest[other] not in linked and alike(mine, theirs, similarity):
+                        linked.add(forest[other])
+                        found.append((node, other))
+                for k, label in forest.items() if linked else ():
+                    if label in linked:
+                        forest[k] = node
+                forest[node] = node
+                seen.append((node, mine, own))
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(edges, "a long, b long")
+
+
 def similar(docs: DataFrame, width: int = WIDE_SHINGLE, budget: int = WIDE_BUDGET, similarity: float = SIMILARITY) -> DataFrame:
-    """did, tid, their number of rows n, and the group of texts whose 128 bits tell this shingle similarity or more; staged."""
-    total = bits_at(similarity)
-    turned = lambda c: c.select("node", F.col("other").alias("fp"), F.col("fp").alias("other"))
+    """did, tid, their number of rows n, and the group of texts over links of this shingle similarity or more; staged."""
     rows = stage(marks(docs, width))
-    # Texts of the same words are one node.
-    nodes = rows.groupBy("c", "d").agg(*[F.any_value(x).alias(x) for x in ("fp", "other")])
+    # Texts of the same words are one node, and one of them stands for all.
+    place = F.min(F.struct("did", "tid")).alias("place")
+    nodes = rows.groupBy("c", "d").agg(place, *[F.any_value(x).alias(x) for x in PARTS])
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()))
-    found = components(links(nodes, budget, total).unionByName(links(turned(nodes), budget, total)))
+    loose = components(candidates(nodes, budget))
+    wanted = stage(nodes.join(loose, "node").select("place.did", "place.tid", "node", F.col("component").alias("group")))
+    # The grouping keeps one of repeated rows, before texts are moved.
+    texts = docs.select(*row_key(), F.col("text").alias("text")).join(checked(wanted), ["did", "tid"])
+    texts = stage(texts.groupBy("group", "node").agg(F.any_value("text").alias("text")))
+    found = components(verified(texts, width, similarity))
     whole = nodes.join(found, "node", "left").select("c", "d", F.coalesce("component", "node").alias("group"))
     units = rows.groupBy("did", "tid").agg(*[F.any_value(x).alias(x) for x in ("c", "d")], F.count("*").alias("n"))
     return stage(units.join(whole, ["c", "d"]).select("did", "tid", "n", "group"))

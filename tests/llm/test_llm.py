@@ -257,6 +257,33 @@ def test_similar_texts(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 10, 20, 30, 40, 50]
 
 
+def test_similarity_is_that_of_shingles(spark):
+    rng = random.Random(6)
+    rows, sets = [], []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        other = list(words)
+        for k in rng.sample(range(0, 120, 6), i % 8):  # each changed word costs five shingles, or fewer at the ends
+            other[k] = "changed"
+        for j, x in enumerate((words, other)):
+            rows.append((2 * i + j, " ".join(x)))
+            sets.append({tuple(x[k : k + 5]) for k in range(116)})
+    near = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert 20 < sum(near) < 40
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [i for i, n in enumerate(near) if not n and 2 * i + 1 not in kept]
+    missed = [i for i, n in enumerate(near) if n and 2 * i + 1 in kept]
+    assert not wrong and len(missed) <= 2 and kept >= set(range(0, 120, 2))
+
+
+def test_verified_links_of_a_split_group(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 5)
+    texts = [" ".join(f"{chr(97 + i // 6)}{k}" for k in range(100 + i % 6)) for i in range(24)]
+    table = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "group long, node long, text string")
+    got = {r["node"]: r["component"] for r in components(simhash.verified(table)).collect()}
+    assert got == {i: i // 6 * 6 for i in range(24)}
+
+
 def test_rows_that_share_an_id_are_kept_by_their_texts(spark):
     rng = random.Random(9)
     text = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(5)]
