@@ -6,8 +6,9 @@ card number, a date a date in the same notation, and equal values get equal pseu
 document. E-mail addresses and secrets, which have no small format, get keyed digests.
 
 Defined results: a null text stays null; text without a match is returned as it is, byte for byte;
-numbers that fail their check and dates outside 1700-03-01 to 2100-02-28 stay; repeated rows change
-alike; an empty table gives no rows; further columns are kept.
+numbers that fail their check and dates outside 1700-03-01 to 2100-02-28 stay; in a run of digits that
+is longer than a card, or fails its check, cards that start and end at a separator are found, the first
+and longest first, and counted one by one; repeated rows change alike; an empty table gives no rows; further columns are kept.
 """
 
 from __future__ import annotations
@@ -33,8 +34,14 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w])(?!\.\d)",
-    "card": r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)",
 }
+#: What a run of digits doesn't go on with: the other kinds that start with a digit.
+_OTHER = (
+    r"\d{4}-\d{2}-\d{2}(?![\w/-])|\d{2}\.\d{2}\.\d{4}(?![\w/-])|\d{2}/\d{2}/\d{4}(?![\w/-])"
+    r"|\d{3}-\d{2}-\d{4}(?![\w-])|\d{1,3}(?:\.\d{1,3}){3}(?![\w])(?!\.\d)|[A-Za-z0-9._%+-]+@"
+)
+#: A run of digits may hold several cards, or a card and other numbers.
+PATTERNS["card"] = rf"(?<!\w)(?=\d(?:[ -]?\d){{12}})\d+(?:[ -](?!{_OTHER})\d+)*(?!\w)"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every match holds; texts without it are not searched further.
 HINT = r"[0-9@=:]"
@@ -103,15 +110,41 @@ def luhn(digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
+    """``m``, a card number, with its pseudonym."""
+
     def of(d: Column) -> Column:
         body = permuted_digits(d.substr(F.lit(1), F.length(d) - 1), "card", key)
         tens = F.array(*[F.lit(str(i)) for i in range(10)])
         valid = let(body, lambda b: F.concat(b, F.filter(tens, lambda c: luhn(F.concat(b, c)))[0]))
-        return F.when(luhn(d), refilled(m, valid)).otherwise(m)
+        return refilled(m, valid)
 
     return let(only_digits(m), of)
 
 
+def _cards(m: Column, key: str) -> Column:
+    """A run of digits: a struct of the run with its cards replaced (o) and their number (n)."""
+
+    def of(parts: Column) -> Column:
+        window = lambda i, k: F.array_join(F.slice(parts, i + 1, k), "")
+        holds = lambda d: F.length(d).between(13, 19) & luhn(d)
+
+        def step(s: Column, i: Column) -> Column:
+            """Replace the longest card that starts with part ``i``, unless an earlier one reaches beyond it."""
+            sizes = F.sequence(F.least(F.size(parts) - i, F.lit(19)), F.lit(1), F.lit(-1))
+            size = F.get(F.filter(sizes, lambda k: let(only_digits(window(i, k)), holds)), F.lit(0))
+            start = window(i, F.lit(1))
+            # Only a separator can stand before the card's first digit.
+            at = lambda k: let(window(i, k), lambda w: F.concat(F.regexp_extract(w, "^[ -]?", 0), _card(F.regexp_replace(w, "^[ -]", ""), key)))
+            next_ = lambda o, i, n: F.struct(o.alias("o"), i.cast("int").alias("i"), n.cast("int").alias("n"))
+            here = let(size, lambda k: F.when(k.isNull(), next_(F.concat(s["o"], start), i + 1, s["n"])).otherwise(next_(F.concat(s["o"], at(k)), i + k, s["n"] + 1)))
+            return F.when(i < s["i"], s).otherwise(here)
+
+        first = F.struct(F.lit("").alias("o"), F.lit(0).alias("i"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), first, step)
+
+    return let(F.regexp_extract_all(m, F.lit(r"[ -]?\d+"), F.lit(0)), lambda p: let(of(p), lambda s: F.struct(s["o"].alias("o"), s["n"].alias("n"))))
+
+
 def _mod97(text: Column) -> Column:
     """The remainder by 97 of letters and digits read as numbers (A is 10)."""
     number = lambda c: F.ascii(c) - F.when(c.rlike("[0-9]"), 48).otherwise(55)
@@ -180,12 +213,13 @@ def _secret(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str = KEY) -> Column:
-    """The pseudonym of one match of ``ANY``."""
+    """A struct of the pseudonym (o) of one match of ``ANY`` and the number of values that changed in it (n)."""
     whole = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
     email = F.concat(F.lit("u"), F.substring(_digest(key, F.lit("email"), F.lower(m)), 1, 12), F.lit("@mail.invalid"))
     access = F.concat(F.lit("AKIA"), F.upper(F.substring(_digest(key, F.lit("access"), m), 1, 16)))
     ssn = refilled(m, permuted_digits(only_digits(m), "ssn", key))
-    return (
+    one = lambda new: let(new, lambda t: F.struct(t.alias("o"), (t != m).cast("int").alias("n")))
+    other = (
         F.when(whole("email"), email)
         .when(whole("secret"), _secret(m, key))
         .when(whole("access_key"), access)
@@ -194,8 +228,8 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
         .when(whole("ssn"), ssn)
         .when(whole("date"), _date(m, key))
         .when(whole("ip"), _ip(m, key))
-        .otherwise(_card(m, key))
     )
+    return let(other, lambda t: F.when(t.isNull(), _cards(m, key)).otherwise(one(t)))
 
 
 def replaced(text: Column, key: str = KEY) -> Column:
@@ -206,8 +240,9 @@ def replaced(text: Column, key: str = KEY) -> Column:
 
         def merged(n: Column) -> Column:
             rest = F.split(text, ANY, -1)
-            whole = F.array_join(F.zip_with(rest, F.concat(n, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-            changed = F.size(F.filter(F.zip_with(n, found, lambda a, b: a != b), lambda x: x))
+            put = F.transform(n, lambda x: x["o"])
+            whole = F.array_join(F.zip_with(rest, F.concat(put, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+            changed = F.aggregate(n, F.lit(0), lambda s, x: s + x["n"])
             return F.struct(whole.alias("text"), changed.cast("long").alias("n"))
 
         none = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))

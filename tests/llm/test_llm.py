@@ -419,6 +419,19 @@ def test_pseudonyms(spark):
     assert "Python" not in pii.pseudonymize(table)._jdf.queryExecution().toString()
 
 
+def test_cards_beside_other_numbers(spark):
+    card, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    samples = [
+        (f"{card} 12/27", 1, r"\d{4} \d{4} \d{4} \d{4} 12/27"), ("4111111111111111 123", 1, r"\d{16} 123"), (f"no 12 {card}.", 1, r"no 12 \d{4} \d{4} \d{4} \d{4}\."),
+        (f"{amex} {card} 999", 2, r"\d{4} \d{6} \d{5} \d{4} \d{4} \d{4} \d{4} 999"), (f"{card} {card}", 2, r"(\d{4} \d{4} \d{4} \d{4}) \1"),
+        (f"{card} 1980-02-29", 2, r"\d{4} \d{4} \d{4} \d{4} \d{4}-\d{2}-\d{2}"), ("1234 5678 9012 3456 123", 0, r"1234 5678 9012 3456 123"),
+    ]
+    table = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(samples)], "doc_id long, text string")
+    for r, (_, n, form) in zip(pii.pseudonymize(table).orderBy("doc_id").collect(), samples, strict=True):
+        assert r["n_replaced"] == n and re.fullmatch(form, r["text"]), r
+        assert not any(x in r["text"] for x in (card, amex, "4111111111111111", "1980-02-29"))
+
+
 def test_feistel_is_a_permutation(spark):
     four = spark.range(10_000).select(pii.permuted_digits(F.lpad(F.col("id").cast("string"), 4, "0"), "t", "k").alias("x"))
     assert four.distinct().count() == 10_000
