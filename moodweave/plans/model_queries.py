@@ -286,7 +286,7 @@ def model_selection(spark, sf):
     fitted = scaling.fit(train, list(emotions.FEATURES))
     ready = lambda x: models.assembled(scaling.scaled(x, fitted, True, 10.0, 1e-10), list(emotions.FEATURES)).cache()
     learnt, held, n = ready(models.weighted(train)), ready(val), train.count()
-    candidates = {"lr": models.logistic(2.0, n, 20), "svm": models.svm(1.0, n, 10), "rf": models.forest(10, 6)}
+    candidates = {"lr": models.logistic(2.0, n), "svm": models.svm(1.0, n), "rf": models.forest()}
     best, _, scores = models.select_best(candidates, learnt, held)
     return spark.createDataFrame([(k, v, k == best) for k, v in scores.items()], "kind string, macro_f1 double, chosen boolean")
 
@@ -297,7 +297,7 @@ def embedding_hybrid(spark, sf):
     df, names = _coded(models.embedding_vector(vectors).withColumn("norm", F.array_max("embedding").cast("double")))
     train, _, test = _parts(df)
     ready = models.hybrid(["embedding_vec", "norm"])
-    return _fit_predict(ready.transform(models.weighted(train)), ready.transform(test), models.logistic(n=train.count(), max_iter=20), names)
+    return _fit_predict(ready.transform(models.weighted(train)), ready.transform(test), models.logistic(n=train.count()), names)
 
 
 @query(
