@@ -152,6 +152,11 @@ def char_tfidf(spark, sf):
     return _six(tfidf.tfidf(_conversations(spark, sf), "char", tfidf.Settings(max_chars=2000)))
 
 
+@query("char_tfidf_whole", f"WITH {_weights(_char_terms(3, 5), 25_000)} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
+def char_tfidf_whole(spark, sf):
+    return _six(tfidf.tfidf(_conversations(spark, sf), "char"))
+
+
 @query("tfidf_improved", f"WITH {_IMPROVED_SQL} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
 def tfidf_improved(spark, sf):
     return _six(tfidf.tfidf(_conversations(spark, sf), "word", tfidf.IMPROVED))
@@ -203,6 +208,18 @@ def chi2_select(spark, sf):
     return tfidf.chi2(weights, docs.select("doc_id", F.col("role").alias("label"))).withColumn("chi2", F.round("chi2", 5))
 
 
+@query(
+    "chi2_select_whole",
+    f"""WITH {_weights(_word_terms(2), 50_000)}, y AS (SELECT doc_id, role AS label FROM docs), p AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM y GROUP BY label),
+    o AS (SELECT term, label, sum(weight) AS o FROM weights JOIN y USING (doc_id) GROUP BY 1, 2), t AS (SELECT term, sum(o) AS total FROM o GROUP BY term)
+    SELECT term, round(sum((coalesce(o, 0) - total * p) * (coalesce(o, 0) - total * p) / (total * p)), 5) AS chi2 FROM t CROSS JOIN p LEFT JOIN o USING (term, label) GROUP BY term""",
+)
+def chi2_select_whole(spark, sf):
+    docs = _conversations(spark, sf)
+    weights = tfidf.tfidf(docs, "word")
+    return tfidf.chi2(weights, docs.select("doc_id", F.col("role").alias("label"))).withColumn("chi2", F.round("chi2", 5))
+
+
 # ---- scaling ----
 _SCALED = ["count_trust", "intensity_joy", "question_count", "count_surprise"]
 
@@ -273,10 +290,10 @@ def train_tfidf_lr(spark, sf):
     docs = _conversations(spark, sf).withColumnRenamed("role", "label")
     df, names = _coded(models.with_terms(docs))
     train, _, test = _parts(df)
-    stages = models.tfidf_stages(2000, 2000)
+    stages = models.tfidf_stages()
     fitted = Pipeline(stages=stages).fit(train)
     learnt = fitted.transform(models.weighted(train))
-    return _fit_predict(learnt, fitted.transform(test), models.logistic(n=train.count(), max_iter=20, features="tfidf"), names)
+    return _fit_predict(learnt, fitted.transform(test), models.logistic(n=train.count(), features="tfidf"), names)
 
 
 @query("model_selection")
