@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade, in native expressions only.
 
-Every rule has a cost and a share of rows that it rejects, both estimated on a bounded sample;
+Every rule has a fixed cost and a share of rows that it rejects, which is estimated on a bounded sample;
 the cascade tries the rules by rejections per cost, and ``CASE WHEN`` stops at the first that
 rejects. The order changes the work, never the verdict.
 
