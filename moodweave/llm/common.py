@@ -9,46 +9,56 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most rows of a side that may be broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 400_000
+#: Most rows of a side that may be broadcast, and most bytes of its files; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
 _NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
+    """The folder all executors share. Only a session without a cluster may do without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="moodweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system, as the JVM's objects."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     Cuts the lineage, survives the loss of executors and computes what several later plans read
-    just once. The files go when the application ends.
+    just once. The files go with ``release``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/moodweave/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    at, files = _folder(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of one Arrow batch, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def release(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that no later plan reads."""
+    for t in tables:
+        at, files = _folder(t.sparkSession, t.staged_at)
+        files.delete(at, True)
 
 
-def checked(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` marked for broadcast if it has at most ``limit`` rows, else as it is.
-
-    ``small`` should be staged and narrow: it is counted first, from the footers of its files.
-    """
-    return F.broadcast(small) if small.count() <= limit else small.hint("merge")
+def checked(small: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A staged table marked for broadcast if its rows and the bytes of its files are within bounds, else for a merge join."""
+    at, files = _folder(small.sparkSession, small.staged_at)
+    fits = files.getContentSummary(at).getLength() <= size and small.count() <= rows
+    return F.broadcast(small) if fits else small.hint("merge")
 
 
 def id_key(col: Column) -> Column:
@@ -79,8 +89,8 @@ def unit_hash(seed: str, *cols: Column) -> Column:
 def gapless(df: DataFrame, group: list[str], name: str) -> DataFrame:
     """Number the rows of each group from 0 without gaps, whatever the sizes of the groups.
 
-    ``df`` must be staged. Rows are numbered within (group, input partition); counts of the
-    partitions give the offsets. No task sees more of a group than one input partition holds.
+    Rows are numbered within (group, input partition); counts of the partitions give the offsets.
+    No task sees more of a group than one input partition holds.
     """
     rows = stage(df.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
     keys = [*group, "_part"]

@@ -1,15 +1,16 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines of at least ``MIN_CHARS`` characters are grouped by equal text. Each distinct line is split into
-``TAU + 1`` segments, posted under (length, segment number, content); it probes, for its own and
-the ``TAU`` next smaller lengths, the substrings that multi-match-aware position windows allow.
-Two lines within the edit distance share such a key at least once. Candidates are verified by a
+Lines are grouped by equal text, at any length. Two texts are near if their edit distance is at most the
+threshold of the shorter one: two edits from 24 characters on, one from 12, none below (``STEPS``).
+A line is split into threshold-plus-one segments, posted under (length, segment number,
+content); it probes, for its own and the next smaller lengths, the substrings that multi-match-aware position
+windows allow. Two near lines share such a key at least once. Candidates are verified by a
 banded bit-parallel edit distance. An occurrence of a line goes if it isn't the first of its text, or
-if a line within the edit distance stands first at an earlier place; places are ordered by doc_id,
+if a near line stands first at an earlier place; places are ordered by doc_id,
 a hash of the whole text and line number, so that a removal only reaches the text it was found in.
 
-Defined results: a null or empty text has one empty line and keeps it (a null text stays null);
-shorter lines always stay; rows that repeat a doc_id (or its absence) with the same text share their
+Defined results: lines without a word (empty ones, white space) always stay; a null text stays null, and a text whose lines all
+go is left empty; rows that repeat a doc_id (or its absence) with the same text share their
 places, so they change alike, and with different texts have places of their own; a null doc_id
 orders before all others; an empty table gives no rows; further columns are kept.
 """
@@ -19,12 +20,19 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import checked, id_key, plain, row_key, small_batches, stage
+from .common import checked, id_key, plain, release, row_key, stage
 from .quality_rules import let
 
-TAU, MIN_CHARS = 2, 24
+#: (least length, edits): what the shorter line of a pair allows, the longest first.
+STEPS = ((24, 2), (12, 1))
+TAU = STEPS[0][1]
+_WORD = r"[^\x20\x09-\x0D]"
+
+
+def allowed(length: int) -> int:
+    """Edits by which another line may differ from a line of this length that isn't longer."""
+    return next((tau for least, tau in STEPS if length >= least), 0)
 
 
 def _shared(a: str, b: str) -> int:
@@ -40,7 +48,8 @@ def within(a: str, b: str, tau: int = TAU) -> bool:
     """Whether the edit distance is ``tau`` or less: bit-parallel columns of a band of 2 tau + 1 rows.
 
     Bit k of the window stands for row ``column - tau + k``; the window moves down by one row a column, so
-    that the vertical differences are shifted before they meet the next character.
+    that the vertical differences are shifted before they meet the next character. For each character a table
+    holds the rows of the window in which it stands; a column shifts the entry of its own character only.
     """
     if abs(len(a) - len(b)) > tau:
         return False
@@ -55,12 +64,16 @@ def within(a: str, b: str, tau: int = TAU) -> bool:
     vp, vn, score = full & ~((1 << tau) - 1), 0, tau  # above the first row there are no steps
     last = m - tau  # from this column on the window's lowest row is beyond the pattern
     cell = tau
+    rows: dict[str, tuple[int, int]] = {}  # character -> its rows, as bits of the window of a column
+    for i in range(min(tau, m)):
+        rows[a[i]] = (rows.get(a[i], (0, 0))[0] | 1 << (i + tau), 0)
     for j in range(n):
-        eq = 0
-        for k in range(width):
-            i = j - tau + k
-            if 0 <= i < m and a[i] == b[j]:
-                eq |= 1 << k
+        if j + tau < m:
+            c = a[j + tau]
+            bits, at = rows.get(c, (0, j))
+            rows[c] = (bits >> (j - at) | top, j)
+        bits, at = rows.get(b[j], (0, j))
+        eq = bits >> (j - at)
         d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & full
         hp = (vn | ~(d0 | vp)) & full
         hn = d0 & vp
@@ -90,60 +103,75 @@ def _distance(a: str, b: str) -> int:
     return row[-1]
 
 
+def near(a: str, b: str) -> bool:
+    """Whether two lines are near."""
+    tau = allowed(min(len(a), len(b)))
+    return a == b if not tau else within(a, b, tau)
+
+
 def keys(line: Column) -> Column:
-    """(index, probes): hashes of the line's own segments and of the substrings that it looks up."""
+    """Hashes of the line's own segments, threshold-plus-one of them, and then of the substrings that it looks up."""
     size = F.length(line)
 
-    def segment(length: Column, i: int) -> tuple[Column, Column]:
+    def segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
         """First position (from 1) and size of segment ``i`` of a line of this length; the last are longer."""
-        base, rest = F.floor(length / (TAU + 1)).cast("int"), length % (TAU + 1)
-        short = F.lit(TAU + 1) - rest
+        base, short = F.floor(length / (tau + 1)).cast("int"), F.lit(tau + 1) - length % (tau + 1)
         return F.lit(1) + base * i + F.greatest(F.lit(i) - short, F.lit(0)), base + (F.lit(i) >= short).cast("int")
 
     def key(length: Column, i: int, at: Column, n: Column) -> Column:
         return F.xxhash64(length, F.lit(i), F.substring(line, at, n))
 
-    index, probes = [], []
-    for i in range(TAU + 1):
-        at, n = segment(size, i)
-        index.append(key(size, i, at, n))
-    for gap in range(TAU + 1):
-        length = size - gap
-        for i in range(TAU + 1):
+    def posts(tau: int) -> Column:
+        return F.array(*[key(size, i, *segment(size, i, tau)) for i in range(tau + 1)])
+
+    def probes(gap: int, tau: int) -> Column:
+        """What meets the segments of a line that is ``gap`` characters shorter and allows ``tau`` edits."""
+        length, out = size - gap, []
+        for i in range(tau + 1):
             # Errors left of the segment, and right of it, bound how far it can have moved.
-            low, high = max(-i, gap - (TAU - i)), min(i, gap + (TAU - i))
-            at, n = segment(length, i)
-            for off in range(low, high + 1):
-                if gap or off:
-                    probes.append(key(length, i, at + off, n))
-    return F.struct(F.array(*index).alias("index"), F.array(*probes).alias("probes"))
+            low, high = max(-i, gap - (tau - i)), min(i, gap + (tau - i))
+            at, n = segment(length, i, tau)
+            out += [key(length, i, at + off, n) for off in range(low, high + 1) if gap or off]
+        return F.array(*out)
 
+    def by_length(length: Column, of, gap: int = 0) -> Column:
+        out = F.array().cast("array<bigint>")
+        for least, tau in reversed(STEPS):
+            if gap <= tau:
+                out = F.when(length >= least, of(tau)).otherwise(out)
+        return out
 
-def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """did, tid, line_no, line of each line that takes part."""
-    lines = docs.select(*row_key(), F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
-    return lines.where(F.length("line") >= min_chars)
+    looked_up = [by_length(size - gap, lambda tau, gap=gap: probes(gap, tau), gap) for gap in range(TAU + 1)]
+    return F.concat(by_length(size, posts), *looked_up)
 
 
-def texts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """A row per distinct line: its 128-bit hash (h1, h2), first place, number of lines and its keys."""
-    rows = occurrences(docs, min_chars).select(*_hashes(), F.struct("did", "tid", "line_no").alias("place"), keys(F.col("line")).alias("keys"))
-    # The keys depend on the text alone; the grouping keeps one copy and never the text itself.
-    return rows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys"))
+def occurrences(docs: DataFrame) -> DataFrame:
+    """A row per line: doc_id, did, tid, line_no; for lines that hold a word, also h1, h2 (a 128-bit hash) and keys."""
+    split = F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), split)
+    held = lambda c: F.when(F.col("line").rlike(_WORD), c)
+    hashes = [held(F.xxhash64("line")).alias("h1"), held(F.xxhash64(F.lit(11), F.col("line"))).alias("h2")]
+    return lines.select("doc_id", "did", "tid", "line_no", *hashes, held(keys(F.col("line"))).alias("keys"), F.length("line").alias("n_chars"))
 
 
-def _hashes() -> list[Column]:
-    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), F.col("line")).alias("h2")]
+def texts(lines: DataFrame) -> DataFrame:
+    """A row per distinct line: h1, h2, the least did among its places and its number of places."""
+    return lines.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("did").alias("d"), F.count("*").alias("n"))
 
 
 def crowd(lines: DataFrame) -> DataFrame:
     """The posts and probes (key, own, h1) of distinct lines whose key another line posts; staged."""
-    posted = F.transform("keys.index", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own")))
-    probed = F.transform("keys.probes", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own")))
-    dealt = lines.select("h1", F.explode(F.concat(posted, probed)).alias("k")).select("k.key", "k.own", "h1")
-    group = Window.partitionBy("key")
-    found = dealt.withColumn("n", F.count("*").over(group)).withColumn("posts", F.count_if("own").over(group))
-    return stage(found.where("n > 1 AND posts > 0").drop("n", "posts"))
+    posts = F.lit(0)
+    for least, tau in reversed(STEPS):
+        posts = F.when(F.col("n_chars") >= least, F.lit(tau + 1)).otherwise(posts)
+    dealt = lines.where("h1 IS NOT NULL").select("h1", posts.alias("posts"), F.posexplode("keys").alias("at", "key"))
+    dealt = dealt.select("key", (F.col("at") < F.col("posts")).alias("own"), "h1")
+    # Most keys belong to one line. They are told from the others by plain aggregates, which are combined before they move.
+    met = dealt.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("own").alias("posted"))
+    met = stage(met.where("a <> b AND posted").select("key"))
+    out = stage(dealt.join(checked(met), "key", "left_semi").distinct())
+    release(met)
+    return out
 
 
 def _parity(items: Column) -> Column:
@@ -161,108 +189,107 @@ def signatures(line: Column) -> Column:
     return let(F.split(line, ""), lambda c: F.struct(_parity(c).alias("ones"), _parity(twos(c)).alias("twos")))
 
 
-def lines_of(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
-    """h1, first, line and signatures of the lines named by ``wanted`` (h1, first), from their documents; staged."""
-    by_doc = wanted.groupBy("first.did", "first.tid").agg(F.collect_set("h1").alias("hs"))
-    here = docs.select(*row_key(), "text").join(checked(stage(by_doc)), ["did", "tid"])
-    split = F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")
-    found = here.select("did", "tid", "hs", split).where(F.length("line") >= min_chars).withColumn("h1", F.xxhash64("line"))
-    first = F.min(F.struct("did", "tid", "line_no")).alias("first")
-    found = found.where(F.array_contains("hs", F.col("h1"))).groupBy("h1").agg(first, F.any_value("line").alias("line"))
-    return stage(found.select("h1", "first", "line", signatures(F.col("line")).alias("sig")))
+def first_places(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h1, h2, n and the first place (did, tid, line_no) of wanted lines (h1, h2, d, n; staged); staged."""
+    at = lines.select("did", "tid", "line_no", "h1", "h2").join(checked(wanted), ["h1", "h2"]).where("did = d")
+    place = F.min(F.struct("did", "tid", "line_no")).alias("first")
+    return stage(at.groupBy("h1", "h2").agg(place, F.max("n").alias("n")))
 
 
-def links(docs: DataFrame, lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (x earlier, y later; each first, h1) of distinct lines within the edit distance."""
-    small_batches(docs.sparkSession, 2000)
-    near_keys = crowd(lines)
-    wanted = near_keys.select("h1").distinct().join(lines.select("h1", "first"), "h1")
-    known = lines_of(docs, wanted, min_chars)
-    signed = near_keys.join(known.select("h1", "sig"), "h1")
+def lines_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """h1, h2, first, line and signatures of lines at known first places, from their documents; staged."""
+    spot = F.struct(F.col("first.line_no").alias("line_no"), "h1", "h2")
+    by_doc = stage(places.groupBy("first.did", "first.tid").agg(F.collect_list(spot).alias("spots")))
+    here = docs.select(*row_key(), F.col("text").alias("text")).join(checked(by_doc), ["did", "tid"])
+    split = F.split(plain(F.col("text")), "\n")
+    found = let(split, lambda s: F.transform("spots", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["line_no"].alias("line_no"), F.get(s, x["line_no"]).alias("line"))))
+    rows = here.select("did", "tid", F.explode(found).alias("x")).select("x.h1", "x.h2", F.struct("did", "tid", "x.line_no").alias("first"), "x.line")
+    # Repeated rows give their lines once.
+    rows = rows.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("line").alias("line"))
+    out = stage(rows.select("h1", "h2", "first", "line", F.length("line").alias("size"), signatures(F.col("line")).alias("sig")))
+    release(by_doc)
+    return out
+
+
+def links(known: DataFrame, near_keys: DataFrame) -> DataFrame:
+    """Pairs (x earlier, y later; each first, h1, h2) of distinct near lines. ``known``: ``lines_of``; ``near_keys``: ``crowd``."""
+    signed = near_keys.join(known.select("h1", "sig", "size"), "h1")
     a, b = signed.where("own").alias("a"), signed.alias("b")
     # Two posted lines meet once; a probing line meets every posted one. Spark splits hot keys of this join,
     # and what lines of a hot key differ in shows in their signatures, so few pairs leave it.
     apart = (F.col("a.h1") < F.col("b.h1")) | (~F.col("b.own") & (F.col("a.h1") != F.col("b.h1")))
     flips = lambda c: F.bit_count(F.col(f"a.sig.{c}").bitwiseXOR(F.col(f"b.sig.{c}")))
-    alike = (flips("ones") <= 2 * TAU) & (flips("twos") <= 4 * TAU)
+    alike = (flips("ones") <= 2 * TAU) & (flips("twos") <= 4 * TAU) & (F.abs(F.col("a.size") - F.col("b.size")) <= TAU)
     met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & apart & alike)
     pairs = stage(met.select(F.least("a.h1", "b.h1").alias("ah"), F.greatest("a.h1", "b.h1").alias("bh")).distinct())
-    side = lambda t: known.select(F.col("h1").alias(f"{t}h"), F.struct("first", "h1").alias(f"{t}at"), F.col("line").alias(t))
+    side = lambda t: known.select(F.col("h1").alias(f"{t}h"), F.struct("first", "h1", "h2").alias(f"{t}at"), F.col("line").alias(t))
     both = pairs.join(side("a"), "ah").join(side("b"), "bh")
 
     @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([within(s, t) for s, t in zip(a, b, strict=True)], dtype=bool)
+    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([near(s, t) for s, t in zip(a, b, strict=True)], dtype=bool)
 
-    return both.where(near("a", "b")).select(F.least("aat", "bat").alias("x"), F.greatest("aat", "bat").alias("y"))
+    return both.where(verified("a", "b")).select(F.least("aat", "bat").alias("x"), F.greatest("aat", "bat").alias("y"))
 
 
-def judged(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def judged(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """The distinct lines that repeat or have links: h1, h2, first, n_links, near (an earlier line is linked); staged."""
-    lines = stage(texts(docs, min_chars))
-    near = links(docs, lines, min_chars)
-    ends = near.select(F.col("x.h1").alias("h1"), F.lit(False).alias("later")).unionByName(
-        near.select(F.col("y.h1").alias("h1"), F.lit(True).alias("later"))
-    )
-    linked = stage(ends.groupBy("h1").agg(F.count("*").alias("n_links"), F.max("later").alias("near")))
-    marked = lines.select("h1", "h2", "first", "n").join(linked, "h1", "left").where("n > 1 OR n_links > 0")
+    whole = stage(texts(lines))
+    near_keys = crowd(lines)
+    met = stage(near_keys.select("h1").distinct())
+    marked = whole.join(checked(met), "h1", "left_semi").withColumn("met", F.lit(True))
+    repeated = whole.where("n > 1").withColumn("met", F.lit(False))
+    both = marked.unionByName(repeated).groupBy("h1", "h2").agg(F.max("d").alias("d"), F.max("n").alias("n"), F.max("met").alias("met"))
+    both = stage(both)
+    places = first_places(lines, both)
+    candidates = stage(places.join(checked(stage(both.where("met").select("h1", "h2"))), ["h1", "h2"], "left_semi"))
+    known = lines_of(docs, candidates)
+    pairs = links(known, near_keys)
+    ends = pairs.select("x.h1", "x.h2", F.lit(False).alias("later")).unionByName(pairs.select("y.h1", "y.h2", F.lit(True).alias("later")))
+    linked = stage(ends.groupBy("h1", "h2").agg(F.count("*").alias("n_links"), F.max("later").alias("near")))
+    found = places.join(checked(linked), ["h1", "h2"], "left").where("n > 1 OR n_links > 0")
     filled = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("near", F.lit(False)).alias("near")]
-    return stage(marked.select("h1", "h2", "first", *filled))
+    out = stage(found.select("h1", "h2", "first", *filled))
+    release(whole, near_keys, met, both, places, candidates, known, linked)
+    return out
 
 
-def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """did, tid and the sorted numbers of the text's lines that go; staged."""
-    rows = occurrences(docs, min_chars).select("did", "tid", "line_no", *_hashes())
-    marked = judged(docs, min_chars)
-    gone = rows.join(checked(marked), ["h1", "h2"]).where(F.col("near") | (F.struct("did", "tid", "line_no") != F.col("first")))
-    return stage(gone.groupBy("did", "tid").agg(F.sort_array(F.collect_set("line_no")).alias("gone")))
+def removals(docs: DataFrame) -> DataFrame:
+    """did, tid and the numbers of the text's lines that go; staged."""
+    lines = stage(occurrences(docs))
+    marked = judged(docs, lines)
+    rows = lines.select("did", "tid", "line_no", "h1", "h2").join(checked(marked), ["h1", "h2"])
+    gone = rows.where(F.col("near") | (F.struct("did", "tid", "line_no") != F.col("first")))
+    out = stage(gone.groupBy("did", "tid").agg(F.collect_set("line_no").alias("gone")))
+    release(lines, marked)
+    return out
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, counted: str = "n_removed") -> DataFrame:
+def dedup(docs: DataFrame, counted: str = "n_removed") -> DataFrame:
     """``docs`` without the lines that go, and the number of them (in place of a column of that name)."""
-    gone = removals(docs, min_chars)
-    small_batches(docs.sparkSession)
+    gone = removals(docs)
     # The whole row travels as one column, so that its names clash with none of ours.
-    rows = docs.select(*row_key(), F.struct(*docs.columns).alias("row"))
-    joined = rows.join(checked(gone), ["did", "tid"], "left")
-
-    @F.pandas_udf("string")
-    def kept(text: pd.Series, numbers: pd.Series) -> pd.Series:
-        out = []
-        for t, drop in zip(text, numbers, strict=True):
-            drop = set(drop)
-            out.append("\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop))
-        return pd.Series(out, dtype=object)
-
-    changed = F.col("gone").isNotNull() & F.col("row.text").isNotNull()
-    # Rows without removals never go through Python.
-    same = joined.where(~changed).select("row", F.lit(0).cast("long").alias("removed"))
-    cut = joined.where(changed).withColumn("text", kept("row.text", "gone"))
-    cut = cut.select(F.col("row").withField("text", F.col("text")).alias("row"), F.size("gone").cast("long").alias("removed"))
+    rows = docs.select(*row_key(), F.struct(*docs.columns).alias("row")).join(checked(gone), ["did", "tid"], "left")
+    left = lambda s: F.transform(F.array_except(F.sequence(F.lit(0), F.size(s) - 1), "gone"), lambda i: F.get(s, i))
+    text = F.col("row.text")
+    cut = F.when(F.col("gone").isNull(), text).otherwise(let(F.split(text, "\n"), lambda s: F.array_join(left(s), "\n")))
+    removed = F.when(text.isNull(), 0).otherwise(F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias(counted)
     names = [c for c in docs.columns if c != counted]
-    return same.unionByName(cut).select(*[F.col("row")[c].alias(c) for c in names], F.col("removed").alias(counted))
+    return rows.select(*[cut.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names], removed)
 
 
-def digest(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def digest(docs: DataFrame) -> DataFrame:
     """A row per line of each document: its class (the first place of its text), links and verdict.
 
-    ``n_links`` counts the other texts within the edit distance; the class of a line that does
-    not take part is null.
+    ``n_links`` counts the other texts that are near; the class of a line without a word is null.
     """
-    split = F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")
-    rows = docs.select("doc_id", *row_key(), split)
-    short = rows.where(F.length("line") < min_chars).select(
-        "doc_id", "line_no", F.lit(None).cast("long").alias("class_doc_id"), F.lit(None).cast("int").alias("class_line_no"),
-        F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("removed"),
-    )
-    long = rows.where(F.length("line") >= min_chars).select("doc_id", "did", "tid", "line_no", *_hashes())
+    lines = stage(occurrences(docs))
     place = F.struct("did", "tid", "line_no")
-    known = long.join(checked(judged(docs, min_chars)), ["h1", "h2"], "left").withColumn("at", F.coalesce("first", place))
-    named = F.when(F.col("at.did") == id_key(F.lit(None)), F.lit(None)).otherwise(F.col("at.did"))
-    return short.unionByName(
-        known.select(
-            "doc_id", "line_no", named.alias("class_doc_id"), F.col("at.line_no").alias("class_line_no"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
-            (F.coalesce("near", F.lit(False)) | (place != F.col("at"))).alias("removed"),
-        )
+    known = lines.drop("keys").join(checked(judged(docs, lines)), ["h1", "h2"], "left")
+    known = known.withColumn("at", F.when(F.col("h1").isNotNull(), F.coalesce("first", place)))
+    named = F.when(F.col("at.did") != id_key(F.lit(None)), F.col("at.did"))
+    return known.select(
+        "doc_id", "line_no", named.alias("class_doc_id"), F.col("at.line_no").alias("class_line_no"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.col("near") | (place != F.col("at")), F.lit(False)).alias("removed"),
     )

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, small_batches
+from .common import gapless
 from .tokencount import byte_chars
 
 CAPACITY = 2048
@@ -107,7 +107,6 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece of each document of ``docs``: doc_id, piece, start, length, ids_crc32."""
-    small_batches(docs.sparkSession)
 
     def tokenized(batches):
         coder = ids(path)
