@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from moodweave.llm import ann, linededup, mixing, packing, pii, quality_qda, quality_rules, sharding, simhash, tokencount
+from moodweave.llm import ann, linededup, mixing, packing, pii, quality_qda, quality_rules, sharding, simhash, tokencount, trie
+from moodweave.llm.common import stage
 from moodweave.llm.components import components
 from moodweave.llm.queries import oracle_sql, queries
 
@@ -136,32 +137,55 @@ def mutated(rng, text, most):
 
 def test_banded_distance():
     rng = random.Random(1)
-    for _ in range(3000):
-        a = "".join(rng.choice("ab") for _ in range(rng.randint(3, 30)))
+    for k in range(3000):
+        a = "".join(rng.choice("ab" if k % 2 else "abcdefgh") for _ in range(rng.randint(3, 30)))
         b = mutated(rng, a, 5)
-        assert linededup.within(a, b) == (edit(a, b) <= 2), (a, b)
+        for tau in (1, 2, 4):
+            assert linededup.within(a, b, tau) == (edit(a, b) <= tau), (a, b, tau)
+
+
+def near_lines(a, b):
+    """By brute force, whether two different lines are linked: the shorter one allows 0, 1 or 2 edits."""
+    short = min(len(a), len(b))
+    return a != b and edit(a, b) <= (2 if short >= 24 else 1 if short >= 12 else 0)
 
 
 def test_line_dedup(spark):
     rng = random.Random(4)
-    base = ["".join(rng.choice("abc de") for _ in range(rng.randint(22, 40))) for _ in range(12)]
-    rows = [(None if i == 7 else i * 3, None if i == 9 else "\n".join(mutated(rng, rng.choice(base), 4) for _ in range(rng.randint(0, 6)))) for i in range(60)]
+    base = ["".join(rng.choice("abc de") for _ in range(rng.randint(2, 40))) for _ in range(16)] + ["", "  ", "漢字", "Subscribe now!"]
+    rows = [(None if i == 7 else i * 3, None if i == 9 else "\n".join(mutated(rng, rng.choice(base), 4) for _ in range(rng.randint(0, 6)))) for i in range(80)]
     table = spark.createDataFrame([(i, t, "s", 1, "z") for i, t in rows], "doc_id long, text string, first string, n long, gone string")
     lines = [(key(i), k, x) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
     first = {}
     for i, k, x in sorted(lines):
-        first.setdefault(x, (i, k))
-    big = [x for x in first if len(x) >= linededup.MIN_CHARS]
-    links = {x: [y for y in big if y != x and edit(x, y) <= 2] for x in big}
+        if python_words(x):
+            first.setdefault(x, (i, k))
+    links = {x: [y for y in first if near_lines(x, y)] for x in first}
     drop = lambda i, k, x: x in links and (first[x] != (i, k) or any(first[y] < first[x] for y in links[x]))
+    assert any(drop(*x) for x in lines if len(x[2]) < 12) and any(links[x] for x in links if 12 <= len(x) < 24) and any(links[x] for x in links if len(x) > 24)
     got = linededup.digest(table).collect()
     assert sorted((key(r["doc_id"]), r["line_no"], r["n_links"], r["removed"]) for r in got) == sorted(
         (i, k, len(links.get(x, [])), drop(i, k, x)) for i, k, x in lines
     )
+    assert all((r["class_doc_id"], r["class_line_no"]) == (None, None) for r in got if not python_words(dict(rows)[r["doc_id"]] or ""))
     out = {key(r["doc_id"]): r for r in linededup.dedup(table).collect()}
     for i, t in rows:
         keep = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not drop(key(i), k, x))
         assert out[key(i)]["text"] == keep and out[key(i)]["gone"] == "z"
+        assert out[key(i)]["n_removed"] == sum(drop(key(i), k, x) for k, x in enumerate((t or "").split("\n")))
+
+
+def test_short_repeats_go(spark):
+    table = spark.createDataFrame([(i, f"Subscribe now!\nthe only line of document {i * 1111}") for i in range(3)], "doc_id long, text string")
+    out = {r["doc_id"]: (r["text"].split("\n"), r["n_removed"]) for r in linededup.dedup(table).collect()}
+    assert [(len(t), n) for _, (t, n) in sorted(out.items())] == [(2, 0), (1, 1), (1, 1)]
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    table = spark.createDataFrame([(1, long), (2, long[:70_000] + "#" + long[70_001:]), (3, long[:-9])], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in linededup.dedup(table).collect()} == {1: 0, 2: 1, 3: 0}
 
 
 def test_lines_of_rows_that_share_an_id(spark):
@@ -209,26 +233,75 @@ def test_fingerprints_and_groups(spark, docs):
     assert ids[2] == 1
 
 
-def test_trie_links_of_a_split_group():
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 200, dtype=np.uint64)
-    f = np.unique(np.concatenate([base, base ^ np.uint64(5), base ^ np.uint64(1 << 40)]))
-    sides = np.arange(len(f)) % 2
-    close = np.bitwise_count(f[:, None] ^ f[None, :]) <= 4
+def parts_of(n, edges):
+    label = list(range(n))
+    for i, j in edges:
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
 
-    def classes(edges):
-        label = list(range(len(f)))
-        for i, j in edges:
-            a, b = label[i], label[j]
-            label = [a if x == b else x for x in label]
-        return label
 
-    def same(a, b):
-        return len(set(zip(a, b, strict=True))) == len(set(a)) == len(set(b))
+def some_fingerprints(rng, n=120):
+    """Random fingerprints, and groups of them a few bits apart."""
+    base = rng.integers(0, 2**64, n, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (4, n), dtype=np.uint64)
+    return np.unique(np.concatenate([base, base[: n // 2] ^ flips[0, : n // 2], base[: n // 3] ^ flips[1, : n // 3] ^ flips[2, : n // 3] ^ flips[3, : n // 3]]))
 
-    assert same(classes(simhash.trie_links(f, 4)), classes(np.argwhere(close).tolist()))
-    across = close & (sides[:, None] != sides[None, :])
-    assert same(classes(simhash.trie_links(f, 4, sides)), classes(np.argwhere(across).tolist()))
+
+def test_trie_links():
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        f = some_fingerprints(rng)
+        far = np.bitwise_count(f[:, None] ^ f[None, :])
+        first = lambda n: np.bitwise_count((f[:, None] ^ f[None, :]) >> np.uint64(64 - n))
+        for budget, shared, prefix in ((4, 0, None), (4, 6, None), (0, 0, None), (64, 0, None), (20, 0, (24, 2)), (20, 3, (24, 2))):
+            close = far <= budget
+            if shared:
+                close &= first(shared) == 0
+            if prefix:
+                close &= first(prefix[0]) <= prefix[1]
+            assert parts_of(len(f), trie.links(f, budget, shared, prefix)) == parts_of(len(f), np.argwhere(close).tolist())
+    same = np.array([5, 5, 5, 9], dtype=np.uint64)  # equal fingerprints of different nodes
+    assert parts_of(4, trie.links(same, 0)) == [0, 0, 0, 3] and trie.links(same[:1], 4) == []
+
+
+def test_the_trie_decides():
+    """Pairs are found by descending node pairs, nearly all of which are pruned before they reach a leaf."""
+    f = np.unique(np.random.default_rng(2).integers(0, 2**64, 20_000, dtype=np.uint64))
+    tally = trie.Tally()
+    assert trie.links(f, 4, 12, tally=tally) == []
+    assert tally.visited > len(f) and tally.pruned > len(f) and tally.leaves == 0
+    dense = np.unique(f[0] ^ (np.uint64(1) << np.random.default_rng(3).integers(0, 64, (6, 3000), dtype=np.uint64)).sum(axis=0, dtype=np.uint64))
+    tally = trie.Tally()
+    trie.links(dense, 4, tally=tally)
+    assert tally.leaves < len(dense) ** 2 / 50 and tally.joined > 1000  # a dense group isn't compared pair by pair
+
+
+def test_every_pair_within_the_budget_shares_a_table():
+    rng = np.random.default_rng(4)
+    for bits, errors, shared in ((64, 4, 1), (64, 4, 2), (24, 2, 1), (24, 2, 2), (24, 2, 4)):
+        tables = simhash.Tables(bits, errors, shared)
+        for _ in range(200):
+            x = int(rng.integers(0, 2**63))
+            y = x
+            for b in rng.choice(bits, errors, replace=False):
+                y ^= 1 << (63 - int(b))
+            two = np.array([x, y], dtype=np.uint64)
+            found = False
+            for k in range(len(tables.choices)):
+                led = tables.led(k, two)
+                assert np.bitwise_count(led[0] ^ led[1]) == errors
+                found |= int(led[0] ^ led[1]) >> (64 - tables.width(k)) == 0
+            assert found
+
+
+def test_large_tries_are_walked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TRIE", 7)
+    f = some_fingerprints(np.random.default_rng(5))
+    rows = spark.createDataFrame([(i, int(x)) for i, x in enumerate(f.view(np.int64))], "node long, fp long")
+    edges = simhash.links(rows, [(F.col("fp"), F.lit(0).cast("long"))], simhash.Tables(64, 4, 1), 4).collect()
+    close = np.bitwise_count(f[:, None] ^ f[None, :]) <= 4
+    assert parts_of(len(f), [(r["a"], r["b"]) for r in edges]) == parts_of(len(f), np.argwhere(close).tolist())
 
 
 def test_components(spark):
@@ -239,8 +312,10 @@ def test_components(spark):
         x, y = label.setdefault(a, a), label.setdefault(b, b)
         low, high = min(x, y), max(x, y)
         label = {k: low if v == high else v for k, v in label.items()}
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {k: v for k, v in label.items() if any(a != b and k in (a, b) for a, b in edges)}
+    for few in (0, 10_000):  # by rounds, and at once
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+        assert got == {k: v for k, v in label.items() if any(a != b and k in (a, b) for a, b in edges)}
+    assert components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
 
 
 def test_similar_texts(spark):
@@ -276,12 +351,44 @@ def test_similarity_is_that_of_shingles(spark):
     assert not wrong and len(missed) <= 2 and kept >= set(range(0, 120, 2))
 
 
-def test_verified_links_of_a_split_group(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CROWD", 5)
+def test_verified_links_of_a_split_group(spark):
     texts = [" ".join(f"{chr(97 + i // 6)}{k}" for k in range(100 + i % 6)) for i in range(24)]
-    table = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "group long, node long, text string")
-    got = {r["node"]: r["component"] for r in components(simhash.verified(table)).collect()}
-    assert got == {i: i // 6 * 6 for i in range(24)}
+    rows = [(0, i, simhash.shingles(t).tolist()) for i, t in enumerate(texts)]
+    table = stage(spark.createDataFrame(rows, "group long, node long, items array<long>"))
+    for crowd in (300, 10_000):
+        got = {r["node"]: r["component"] for r in components(simhash.verified(table, crowd=crowd)).collect()}
+        assert got == {i: i // 6 * 6 for i in range(24)}
+
+
+def test_alike_sets_against_brute_force():
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, 10**9, rng.integers(1, 60))) for _ in range(12)]
+    sets = [np.unique(np.concatenate([rng.permutation(b)[: rng.integers(max(1, int(0.7 * len(b))), len(b) + 1)], rng.integers(0, 10**9, rng.integers(0, 4))])) for b in base for _ in range(6)]
+    jaccard = lambda a, b: len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+    close = [(i, j) for i in range(72) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(close) > 20 and parts_of(72, simhash.set_links(sets)) == parts_of(72, close)
+    sides = [i % 3 for i in range(72)]
+    across = [(i, j) for i, j in close if sides[i] != sides[j]]
+    assert parts_of(72, simhash.set_links(sets, sides)) == parts_of(72, across)
+
+
+def test_recall_of_similar_texts(spark):
+    """Of pairs at each similarity from 0.8 on, nine in ten at least are found; none below is."""
+    rng, pairs_, rows = random.Random(11), [], []
+    for i in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        other = list(words)
+        for at in rng.sample(range(0, 300, 5), i % 12):
+            other[at] = "x"
+        sets = [{tuple(w[k : k + 5]) for k in range(296)} for w in (words, other)]
+        pairs_.append(len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bins = defaultdict(list)
+    for i, j in enumerate(pairs_):
+        bins[-1 if j < 0.8 else int(20 * j + 1e-9)].append(2 * i + 1 not in kept)
+    assert sum(bins.pop(-1)) == 0 and set(bins) >= {16, 17, 18, 19}
+    assert all(sum(x) >= 0.9 * len(x) for x in bins.values()), {k: (sum(x), len(x)) for k, x in bins.items()}
 
 
 def test_rows_that_share_an_id_are_kept_by_their_texts(spark):
