@@ -1,48 +1,63 @@
 """Personal data replaced by format-preserving Feistel pseudonyms, in native expressions only.
 
-Card numbers (Luhn), IBANs (mod 97), IPv4 addresses, phone and social security numbers and dates
+Card numbers (Luhn), IBANs (mod 97), IPv4 addresses, phone numbers (a country code and as many digits as it
+takes), social security numbers (no area 000, 666 or 9xx, no group 00, no serial 0000) and dates
 are validated and then permuted within their format by a keyed Feistel network: a card stays a valid
-card number, a date a date in the same notation, and equal values get equal pseudonyms in every
-document. E-mail addresses and secrets, which have no small format, get keyed digests.
+card number, a date a date in the same notation, a social security number one that could be issued; a phone number keeps its country
+code and its first digit. Notation is left as it is and plays no part in the permutation, so equal values get equal
+pseudonyms in every document, however they are spaced. E-mail addresses and secrets, which have no small format, get keyed digests.
+The key is the caller's: whoever has it can undo the permutations.
 
 Defined results: a null text stays null; text without a match is returned as it is, byte for byte;
 numbers that fail their check and dates outside 1700-03-01 to 2100-02-28 stay; in a run of digits that
 is longer than a card, or fails its check, cards that start and end at a separator are found, the first
-and longest first, and counted one by one; repeated rows change alike; an empty table gives no rows; further columns are kept.
+and longest first, and counted one by one; repeated rows change alike; an empty table gives no rows; further columns are
+kept, but for one named as the count. Patterns take time in proportion to the text, however long a run of one kind it holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_rules import let
 
-KEY = "pseudonym-key-1"
+#: The setting that names the key of the registered query; without it a session draws its own.
+KEY_SETTING = "spark.moodweave.pii.key"
 ROUNDS = 10
 #: 400 Gregorian years have 146,097 = 189 * 773 days: the two halves of the date network.
 FIRST_DAY, DAY_HALVES = "1700-03-01", (189, 773)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
+#: What a run of digits doesn't go on with: the other kinds that start with a digit. A local part has 64 characters at most.
+_OTHER = (
+    r"\d{4}-\d{2}-\d{2}(?![\w/-])|\d{2}\.\d{2}\.\d{4}(?![\w/-])|\d{2}/\d{2}/\d{4}(?![\w/-])"
+    r"|\d{3}-\d{2}-\d{4}(?![\w-])|\d{1,3}(?:\.\d{1,3}){3}(?![\w])(?!\.\d)|[A-Za-z0-9._%+-]{1,64}+@"
+)
 #: Kinds in the order in which they are tried at a place of the text.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?i:\b(?:token|password|passwd|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,}",
+    # A run of local characters is looked at from its start only, and never given back.
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "secret": r"(?i:\b(?:token|password|passwd|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,}+",
     "access_key": r"\bAKIA[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "phone": r"(?<!\w)\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){1,4}(?!\w)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "phone": rf"(?<!\w)\+(?:1[ .-]?\(?\d{{3}}\)?[ .-]?\d{{3}}[ .-]?\d{{4}}|[2-9]\d{{0,2}}[ .-]?\(?\d{{1,4}}\)?(?:[ .-]?(?!{_OTHER})\d{{2,4}}){{1,4}})(?!\w)",
+    "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w])(?!\.\d)",
+    # A run of digits may hold several cards, or a card and other numbers.
+    "card": rf"(?<!\w)(?=\d(?:[ -]?\d){{12}})\d++(?:[ -](?!{_OTHER})\d++(?!\w))*+(?!\w)",
 }
-#: What a run of digits doesn't go on with: the other kinds that start with a digit.
-_OTHER = (
-    r"\d{4}-\d{2}-\d{2}(?![\w/-])|\d{2}\.\d{2}\.\d{4}(?![\w/-])|\d{2}/\d{2}/\d{4}(?![\w/-])"
-    r"|\d{3}-\d{2}-\d{4}(?![\w-])|\d{1,3}(?:\.\d{1,3}){3}(?![\w])(?!\.\d)|[A-Za-z0-9._%+-]+@"
-)
-#: A run of digits may hold several cards, or a card and other numbers.
-PATTERNS["card"] = rf"(?<!\w)(?=\d(?:[ -]?\d){{12}})\d+(?:[ -](?!{_OTHER})\d+)*(?!\w)"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Country codes of two digits; 1 and 7 have one, all others three. Fixed by the numbering plan (ITU E.164).
+TWO_DIGIT_CODES = (
+    20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58,
+    60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98,
+)
+#: Parts of a run of digits that are put together at once.
+BLOCK = 64
 #: What every match holds; texts without it are not searched further.
 HINT = r"[0-9@=:]"
 
@@ -74,13 +89,14 @@ def _ten_to(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
 
-def permuted_digits(digits: Column, kind: str, key: str) -> Column:
+def permuted_digits(digits: Column, kind: str | Column, key: str) -> Column:
     """A digit string of 2 to 36 digits, permuted among the strings of its length."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
 
     def of(d: Column) -> Column:
         u = F.floor(F.length(d) / 2).cast("int")
         v = F.length(d) - u
-        tag = F.concat(F.lit(kind), F.length(d).cast("string"))
+        tag = F.concat(kind, F.length(d).cast("string"))
         halves = feistel(d.substr(F.lit(1), u), d.substr(u + 1, v), _ten_to(u), _ten_to(v), tag, key)
         return let(halves, lambda s: F.concat(F.lpad(s["a"].cast("string"), u, "0"), F.lpad(s["b"].cast("string"), v, "0")))
 
@@ -139,8 +155,14 @@ def _cards(m: Column, key: str) -> Column:
             here = let(size, lambda k: F.when(k.isNull(), next_(F.concat(s["o"], start), i + 1, s["n"])).otherwise(next_(F.concat(s["o"], at(k)), i + k, s["n"] + 1)))
             return F.when(i < s["i"], s).otherwise(here)
 
+        def block(s: Column, k: Column) -> Column:
+            """The state after the parts from ``k`` on; only here the long text of all parts so far is copied."""
+            start = F.struct(F.lit("").alias("o"), s["i"].alias("i"), s["n"].alias("n"))
+            done = F.aggregate(F.sequence(k, F.least(k + BLOCK, F.size(parts)) - 1), start, step)
+            return let(done, lambda d: F.struct(F.concat(s["o"], d["o"]).alias("o"), d["i"].alias("i"), d["n"].alias("n")))
+
         first = F.struct(F.lit("").alias("o"), F.lit(0).alias("i"), F.lit(0).alias("n"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), first, step)
+        return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(BLOCK)), first, block)
 
     return let(F.regexp_extract_all(m, F.lit(r"[ -]?\d+"), F.lit(0)), lambda p: let(of(p), lambda s: F.struct(s["o"].alias("o"), s["n"].alias("n"))))
 
@@ -167,15 +189,37 @@ def _iban(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays."""
-    head = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
-    code = lambda h: F.when(h == "", F.lit("+")).otherwise(h)
+    """The country code and the first digit after it stay; a number with too few or too many digits stays whole."""
+
+    def of(d: Column) -> Column:
+        two = F.substring(d, 1, 2).cast("int").isin(*TWO_DIGIT_CODES)
+        short = d.substr(F.lit(1), F.lit(1)).isin("1", "7")
+        code = F.when(short, 1).when(two, 2).otherwise(3)
+
+        def changed(c: Column) -> Column:
+            kept, rest = d.substr(F.lit(1), c + 1), d.substr(c + 2, F.length(d))
+            tag = F.concat(F.lit("phone"), d.substr(F.lit(1), c))
+            fits = F.when(c == 1, F.length(d) == 11).otherwise(F.length(d).between(8, 15))
+            return F.when(fits, refilled(m, F.concat(kept, permuted_digits(rest, tag, key)))).otherwise(m)
+
+        return let(code, changed)
+
+    return let(only_digits(m), of)
 
-    def of(h: Column) -> Column:
-        rest = m.substr(F.length(h) + 1, F.length(m))
-        return F.concat(h, refilled(rest, permuted_digits(only_digits(rest), "phone", key)))
 
-    return let(code(head), of)
+def _ssn(m: Column, key: str) -> Column:
+    """Area, group and serial are numbered among those that can be issued (898, 99 and 9,999), permuted and written back."""
+    part = lambda i, n: F.substring(m, i, n).cast("long")
+    area = let(part(1, 3), lambda a: F.when(a > 666, a - 2).otherwise(a - 1))
+    serials = F.lit(9999).cast("long")
+    halves = feistel(area * 99 + part(5, 2) - 1, part(8, 4) - 1, F.lit(898 * 99).cast("long"), serials, F.lit("ssn"), key)
+    two = lambda x, n: F.lpad(x.cast("long").cast("string"), n, "0")
+
+    def shown(s: Column) -> Column:
+        a = F.floor(s["a"] / 99)
+        return F.concat_ws("-", two(F.when(a >= 665, a + 2).otherwise(a + 1), 3), two(s["a"] % 99 + 1, 2), two(s["b"] + 1, 4))
+
+    return let(halves, shown)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -212,12 +256,11 @@ def _secret(m: Column, key: str) -> Column:
     return let(head, lambda h: F.concat(h, F.substring(_digest(key, F.lit("secret"), value(h)), 1, 32)))
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """A struct of the pseudonym (o) of one match of ``ANY`` and the number of values that changed in it (n)."""
     whole = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
     email = F.concat(F.lit("u"), F.substring(_digest(key, F.lit("email"), F.lower(m)), 1, 12), F.lit("@mail.invalid"))
     access = F.concat(F.lit("AKIA"), F.upper(F.substring(_digest(key, F.lit("access"), m), 1, 16)))
-    ssn = refilled(m, permuted_digits(only_digits(m), "ssn", key))
     one = lambda new: let(new, lambda t: F.struct(t.alias("o"), (t != m).cast("int").alias("n")))
     other = (
         F.when(whole("email"), email)
@@ -225,14 +268,14 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
         .when(whole("access_key"), access)
         .when(whole("iban"), _iban(m, key))
         .when(whole("phone"), _phone(m, key))
-        .when(whole("ssn"), ssn)
+        .when(whole("ssn"), _ssn(m, key))
         .when(whole("date"), _date(m, key))
         .when(whole("ip"), _ip(m, key))
     )
     return let(other, lambda t: F.when(t.isNull(), _cards(m, key)).otherwise(one(t)))
 
 
-def replaced(text: Column, key: str = KEY) -> Column:
+def replaced(text: Column, key: str) -> Column:
     """A struct of the text with pseudonyms and the number of matches that changed."""
 
     def of(found: Column) -> Column:
@@ -252,11 +295,21 @@ def replaced(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike(HINT), some).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, column: str = "text", counted: str = "n_replaced") -> DataFrame:
-    """``docs`` with its texts replaced and a count column added."""
-    out = docs.withColumn("_pii", replaced(F.col(column), key))
-    return out.withColumn(column, F.col("_pii.text")).withColumn(counted, F.coalesce(F.col("_pii.n"), F.lit(0))).drop("_pii")
+def pseudonymize(docs: DataFrame, key: str, column: str = "text", counted: str = "n_replaced") -> DataFrame:
+    """``docs`` with the texts of ``column`` replaced and the number of values that changed (in place of a column of that name)."""
+    # The whole row travels as one column, so that its names clash with none of ours.
+    both = docs.select(F.struct(*docs.columns).alias("row"), replaced(F.col(column), key).alias("pii"))
+    kept = [F.col("pii.text").alias(c) if c == column else F.col("row")[c].alias(c) for c in docs.columns if c != counted]
+    return both.select(*kept, F.coalesce(F.col("pii.n"), F.lit(0)).cast("long").alias(counted))
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names in ``KEY_SETTING``; else one drawn for it, the same for all its queries."""
+    if not (key := spark.conf.get(KEY_SETTING, None)):
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return pseudonymize(docs.select("doc_id", "text"))
+    return pseudonymize(docs.select("doc_id", "text"), session_key(docs.sparkSession))

@@ -1,7 +1,10 @@
 """The corpus operators against brute force, and on nulls, empty tables, ties, repeats and clashing names."""
 
+import datetime
+import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -511,7 +514,7 @@ def test_pseudonyms(spark):
         "clean text, 4041894974608796 fails; 2023-02-30 is no date. Version 2.0", None, "",
     ]
     table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(samples)], "doc_id long, text string, n string")
-    out = [r["text"] for r in pii.pseudonymize(table).orderBy("doc_id").collect()]
+    out = [r["text"] for r in pii.pseudonymize(table, "k1").orderBy("doc_id").collect()]
     assert out[5:] == samples[5:]
     for secret in ("a.b@c.de", card, "555-2485", "70.123.182.155", "1980-02-29", iban, "123-45-6789", "1beb58b8", "e3b3ed3c", "AKIAMD62"):
         assert not any(secret in (t or "") for t in out)
@@ -523,7 +526,7 @@ def test_pseudonyms(spark):
     pd.to_datetime(re.search(r"\d{4}-\d{2}-\d{2}", out[2])[0])
     n = re.search(r"DE\d{20}", out[3])[0]
     assert int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1
-    assert "Python" not in pii.pseudonymize(table)._jdf.queryExecution().toString()
+    assert "Python" not in pii.pseudonymize(table, "k1")._jdf.queryExecution().toString()
 
 
 def test_cards_beside_other_numbers(spark):
@@ -534,11 +537,134 @@ def test_cards_beside_other_numbers(spark):
         (f"{card} 1980-02-29", 2, r"\d{4} \d{4} \d{4} \d{4} \d{4}-\d{2}-\d{2}"), ("1234 5678 9012 3456 123", 0, r"1234 5678 9012 3456 123"),
     ]
     table = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(samples)], "doc_id long, text string")
-    for r, (_, n, form) in zip(pii.pseudonymize(table).orderBy("doc_id").collect(), samples, strict=True):
+    for r, (_, n, form) in zip(pii.pseudonymize(table, "k1").orderBy("doc_id").collect(), samples, strict=True):
         assert r["n_replaced"] == n and re.fullmatch(form, r["text"]), r
         assert not any(x in r["text"] for x in (card, amex, "4111111111111111", "1980-02-29"))
 
 
+class Pseudonyms:
+    """What the pseudonyms of single values have to be, written down a second time."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def sha(self, *parts):
+        return hashlib.sha256(":".join([self.key, *map(str, parts)]).encode()).hexdigest()
+
+    def feistel(self, a, b, first, second, tag):
+        for r in range(pii.ROUNDS):
+            if r % 2 == 0:
+                a = (a + int(self.sha(tag, r, b)[:15], 16)) % first
+            else:
+                b = (b + int(self.sha(tag, r, a)[:15], 16)) % second
+        return a, b
+
+    def digits(self, d, kind):
+        u = len(d) // 2
+        v = len(d) - u
+        a, b = self.feistel(int(d[:u]), int(d[u:]), 10**u, 10**v, f"{kind}{len(d)}")
+        return f"{a:0{u}d}{b:0{v}d}"
+
+    def filled(self, shape, digits):
+        rest = iter(digits)
+        return re.sub("[0-9]", lambda _: next(rest), shape)
+
+    def card(self, m):
+        body = self.digits(re.sub("[^0-9]", "", m)[:-1], "card")
+        last = next(c for c in "0123456789" if luhn(body + c))
+        return self.filled(m, body + last)
+
+    def ssn(self, m):
+        area, group, serial = map(int, m.split("-"))
+        a, b = self.feistel((area - (2 if area > 666 else 1)) * 99 + group - 1, serial - 1, 898 * 99, 9999, "ssn")
+        area = a // 99 + (2 if a // 99 >= 665 else 1)
+        return f"{area:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+
+    def phone(self, m, code):
+        d = re.sub("[^0-9]", "", m)
+        return self.filled(m, d[: code + 1] + self.digits(d[code + 1 :], "phone" + d[:code]))
+
+    def ip(self, m):
+        p = [int(x) for x in m.split(".")]
+        a, b = self.feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ip")
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+    def date(self, m, form):
+        day = (datetime.datetime.strptime(m, form).date() - datetime.date(1700, 3, 1)).days
+        a, b = self.feistel(day // 773, day % 773, 189, 773, "date")
+        return (datetime.date(1700, 3, 1) + datetime.timedelta(days=a * 773 + b)).strftime(form)
+
+    def iban(self, m):
+        c = m.replace(" ", "")
+        rest = self.filled(c[4:], self.digits(re.sub("[^0-9]", "", c[4:]), "iban"))
+        number = int("".join(str(int(x, 36)) for x in rest + c[:2] + "00"))
+        return self.filled(m, f"{98 - number % 97:02d}" + re.sub("[^0-9]", "", rest))
+
+
+def luhn(digits):
+    d = [int(c) for c in digits][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def test_pseudonyms_against_a_second_version(spark):
+    rng, twin = random.Random(12), Pseudonyms("k1")
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = number(rng.randint(12, 18))
+        return body + next(c for c in "0123456789" if luhn(body + c))
+
+    def iban():
+        rest = "".join(rng.choice("0123456789") for _ in range(18))
+        check = 98 - int("".join(str(int(x, 36)) for x in rest + "DE00")) % 97
+        c = f"DE{check:02d}{rest}"
+        return rng.choice([c, " ".join(c[i : i + 4] for i in range(0, len(c), 4))])
+
+    expected = []
+    for _ in range(25):
+        day = datetime.date(1700, 3, 1) + datetime.timedelta(days=rng.randrange(189 * 773))
+        ssn = f"{rng.choice([1, 665, 667, 899, rng.randint(1, 665)]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+        ip = ".".join(str(rng.randrange(256)) for _ in range(4))
+        us, de, pt = f"+1 ({number(3)}) {number(3)}-{number(4)}", f"+49 30 {number(6)}", f"+351 {number(3)} {number(3)} {number(3)}"
+        made = [(x := card(), twin.card(x)), (ssn, twin.ssn(ssn)), (ip, twin.ip(ip)), (us, twin.phone(us, 1)), (de, twin.phone(de, 2)), (pt, twin.phone(pt, 3)), (x := iban(), twin.iban(x))]
+        made += [(m := day.strftime(form), twin.date(m, form)) for form in ("%Y-%m-%d", "%d.%m.%Y")]
+        made += [(x := f"a.{number(3)}@b.example.com", f"u{twin.sha('email', x)[:12]}@mail.invalid"), (f"token = {(y := number(12))}", f"token = {twin.sha('secret', y)[:32]}")]
+        expected += made
+    whole = " | ".join(a for a, _ in expected)
+    table = spark.createDataFrame([(i, f"x {a}, y") for i, (a, _) in enumerate(expected)] + [(-1, whole), (-2, whole)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymize(table, "k1").collect()}
+    for i, (a, b) in enumerate(expected):
+        assert got[i]["text"] == f"x {b}, y" and got[i]["n_replaced"] == int(a != b), (a, b, got[i])
+    assert got[-1]["text"] == got[-2]["text"] == " | ".join(b for _, b in expected)  # repeated rows, all kinds in one text
+
+
+def test_validation_and_links_across_notations(spark):
+    stay = ["000-12-3456", "666-00-0000", "987-65-4321", "123-00-4567", "123-45-0000", "+1 2024 2025", "+49 12", "+7 495 1234", "2001-02-29", "300.1.2.3", "4111111111111112", "DE89370400440532013001"]
+    same = [["+4930123456", "+49 30 123456", "+49-30-12.34.56", "+49 (30) 123456"], ["+12025550123", "+1 (202) 555-0123", "+1.202.555.0123"], ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"], ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]]
+    rows = [*stay, *[x for g in same for x in g], "+1 (407) 555-7710 97.51.17.173"]
+    table = spark.createDataFrame([(i, f"a {t} b") for i, t in enumerate(rows)], "doc_id long, text string")
+    out = {t: r for t, r in zip(rows, pii.pseudonymize(table, "k1").orderBy("doc_id").collect(), strict=True)}
+    assert all(out[t]["text"] == f"a {t} b" and out[t]["n_replaced"] == 0 for t in stay)
+    bare = lambda t: re.sub("[^0-9A-Z]", "", out[t]["text"])
+    for group in same:
+        assert len({bare(t) for t in group}) == 1 and all(out[t]["n_replaced"] == 1 and out[t]["text"] != f"a {t} b" for t in group)
+        assert all(re.sub("[0-9]", "0", out[t]["text"]) == re.sub("[0-9]", "0", f"a {t} b") for t in group)
+    assert out[rows[-1]]["n_replaced"] == 2
+    other = pii.pseudonymize(table, "k2").orderBy("doc_id").collect()
+    assert sum(a["text"] == b["text"] for a, b in zip(out.values(), other, strict=True)) == len(stay)  # the key decides
+
+
+def test_pii_of_long_texts_and_clashing_names(spark):
+    runs = ["a" * 500_000, "a.b-" * 100_000 + "@", "1" * 300_000, "1-" * 60_000 + "1", "+1" * 200_000, "1.2." * 100_000, "AB12" * 100_000, "token=" + "x" * 400_000, "4111 1111 1111 1111 " * 2000]
+    table = spark.createDataFrame([(i, t, "u", 9, "p", "r") for i, t in enumerate(runs)], "doc_id long, text string, _pii string, n_replaced int, pii string, row string")
+    began = time.time()
+    out = pii.pseudonymize(table, "k1").orderBy("doc_id").collect()
+    assert time.time() - began < 60
+    assert out[0].asDict().keys() == {"doc_id", "text", "_pii", "pii", "row", "n_replaced"} and {(r["_pii"], r["pii"], r["row"]) for r in out} == {("u", "p", "r")}
+    assert [r["n_replaced"] for r in out] == [0, 0, 0, out[3]["n_replaced"], 0, 0, 0, 1, 2000] and all(len(r["text"]) == len(t) for r, t in zip(out[:7], runs, strict=False))
+    assert pii.digest(table.limit(0)).count() == 0
+
+
 def test_feistel_is_a_permutation(spark):
     four = spark.range(10_000).select(pii.permuted_digits(F.lpad(F.col("id").cast("string"), 4, "0"), "t", "k").alias("x"))
     assert four.distinct().count() == 10_000
