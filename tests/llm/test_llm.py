@@ -434,7 +434,7 @@ def test_discriminant_matches_densities(spark):
     assert np.allclose(model.score(x), 1 / (1 + np.exp(-odds)), atol=1e-9)
 
 
-def test_rules(spark, docs):
+def test_rules(spark, docs, monkeypatch):
     def repeated(words):
         seen = defaultdict(list)
         for i in range(len(words) - 7):
@@ -451,12 +451,28 @@ def test_rules(spark, docs):
     out = quality_rules.digest(docs)
     assert Counter(tuple(r)[:7] for r in out.collect()) == Counter((i, *base(t)) for i, t in pairs(docs))
     assert out.where("base_failed AND kept").count() == 0
-    orders = [quality_rules.default_rules(), quality_rules.default_rules()[::-1]]
-    verdicts = [sorted((key(r["doc_id"]), r["kept"]) for r in quality_rules.judge(docs, o).collect()) for o in orders]
+    rules, verdicts = quality_rules.default_rules(), []
+    for order in (rules, rules[::-1]):
+        monkeypatch.setattr(quality_rules, "ordered", lambda *_, order=order: order)
+        verdicts.append(sorted((key(r["doc_id"]), r["kept"]) for r in quality_rules.judge(docs).collect()))
     assert verdicts[0] == verdicts[1]
+    assert quality_rules.judge(docs).columns == [*(c for c in docs.columns if c != "n_words"), *quality_rules.BASE, "failed_rule", "kept"]
     assert "Python" not in out._jdf.queryExecution().toString()
 
 
+def test_rules_are_ordered_by_what_they_reject_in_a_second(spark):
+    table = spark.createDataFrame([(i, ("x! " if i % 2 else "fine word ") * 400) for i in range(3000)], "doc_id long, text string").repartition(8)
+    slow = F.size(F.filter(F.split("text", ""), lambda c: c == "!")) > 10
+    rules = [quality_rules.Rule("slow", slow), quality_rules.Rule("never", F.col("n_words") < 0), quality_rules.Rule("fast", F.col("word_chars") > 790)]
+    known = quality_rules.measured(table, rules)
+    assert known["slow"][1] > 3 * known["fast"][1]  # time is measured, not assumed
+    assert known["never"][0] == 0 and abs(known["slow"][0] - 0.5) < 0.1 and known["fast"][0] == 1
+    assert [r.name for r in quality_rules.ordered(table, rules)] == ["fast", "slow", "never"]
+    assert 500 < quality_rules.sampled(table, 1000).count() <= 2000
+    few = table.where("doc_id < 40")
+    assert quality_rules.sampled(few, 1000).count() == 40
+
+
 def test_token_counts(spark, docs):
     from tokenizers import Tokenizer
 
