@@ -1,14 +1,20 @@
 """Approximate nearest neighbours by a permutation index.
 
-``PIVOTS`` vectors are drawn by hash. A vector is represented by its ``PREFIX`` nearest pivots in
+Pivots are vectors drawn by hash, more of them the more vectors there are (``pivots_for``). A vector is represented by its
+``PREFIX`` nearest pivots in
 order; each index block posts its vectors in inverted files, one per pivot, with the pivot's place. A
-query adds up, over the files of its own pivots, what shared pivots take off the footrule
+query adds up, over the files of its own pivots and no others, what shared pivots take off the footrule
 distance, takes the nearest share of each block and ranks these again by exact cosine. Equal
 vectors are one class and are searched once.
 
+What a query touches in the files is prefix^2 / pivots entries a vector, which falls with the square root of their number; what it
+ranks again is a share of them, as vectors without structure (the nearest hardly nearer than others) leave no shorter list
+at this recall. A task holds one block of the index and one of the queries.
+
 Defined results: vectors that are null, zero, of another length than most, or hold a null or
 non-finite component take no part, nor does a null vec_id; a query with fewer candidates than asked
-for gets all of them; rows that repeat a vec_id with the same vector count once; an empty table
+for gets all of them; rows that repeat a vec_id count once, with the least of their vectors (compared by component);
+components of any finite size are scored, as vectors are scaled by a power of two first; an empty table
 gives no rows; further columns are ignored.
 """
 
@@ -22,11 +28,13 @@ from pyspark.sql.window import Window
 
 from .common import stage
 
-PIVOTS, PREFIX = 128, 64
+#: Pivots of a vector's prefix; the least and the most pivots, and their number over the square root of the vectors'.
+PREFIX = 64
+PIVOTS, PER_ROOT = (128, 4096), 4
 #: Vectors of an index block, queries of a query block.
-BLOCK, QUERIES = 4096, 8192
+BLOCK, QUERIES = 8192, 65_536
 #: Share of a block that is ranked again by the exact measure, and the least number.
-SHARE, LEAST = 0.2, 64
+SHARE, LEAST = 0.06, 256
 EVERY, NEAREST = 50, 5
 
 
@@ -68,6 +76,17 @@ class Block:
         return chosen[best], cosine[best]
 
 
+def pivots_for(n: int) -> int:
+    """The number of pivots for ``n`` vectors."""
+    return max(PIVOTS[0], min(PIVOTS[1], int(PER_ROOT * n**0.5)))
+
+
+def scaled(vectors) -> np.ndarray:
+    """Vectors as rows, each times a power of two that brings its largest component to between 1/2 and 1; cosines stay."""
+    x = np.stack(vectors)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The numbers of each row's nearest pivots by cosine, nearest first, ties to the smaller number."""
     near = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))) @ pivots.T
@@ -78,13 +97,13 @@ def search(
     vectors: DataFrame,
     is_query: Column | None = None,
     k: int = NEAREST,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     prefix: int = PREFIX,
     share: float = SHARE,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found of each query row, its own row excluded."""
     is_query = F.col("vec_id") % EVERY == 0 if is_query is None else is_query
-    rows = stage(usable(vectors).distinct().withColumn("q", is_query))
+    rows = stage(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("q", is_query))
     # Any k others and the query itself lie among the k + 1 least ids of a class; the rank limit cuts
     # each class down before the shuffle.
     least = Window.partitionBy("embedding").orderBy("vec_id")
@@ -100,8 +119,8 @@ def search(
     n, n_queries = classes.agg(F.count("*"), F.count_if("q")).first()
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    drawn = classes.orderBy(F.xxhash64(F.lit(7), "cid"), "cid").limit(pivots).select("embedding").collect()
-    table = np.array([r["embedding"] for r in drawn]).reshape(len(drawn), -1)
+    drawn = classes.orderBy(F.xxhash64(F.lit(7), "cid"), "cid").limit(pivots_for(n) if pivots is None else pivots).select("embedding").collect()
+    table = scaled([np.array(r["embedding"]) for r in drawn])
     table = table / np.sqrt((table * table).sum(axis=1, keepdims=True))
     prefix = min(prefix, len(table))
     blocks, queries = max(1, -(-n // BLOCK)), max(1, -(-n_queries // QUERIES))
@@ -120,8 +139,8 @@ def search(
         if not len(own) or not len(ask):
             return pd.DataFrame({"qid": [], "cid": [], "score": []}).astype({"qid": "int64", "cid": "int64", "score": "float64"})
         own = own.sort_values("cid")
-        block, cid = Block(np.stack(own["embedding"].to_numpy()), table, prefix), own["cid"].to_numpy()
-        x = np.stack(ask["embedding"].to_numpy())
+        block, cid = Block(scaled(own["embedding"].to_numpy()), table, prefix), own["cid"].to_numpy()
+        x = scaled(ask["embedding"].to_numpy())
         m, out = min(len(own), max(LEAST, int(share * len(own)))), []
         for q, order, qid in zip(x, orders(x, table, prefix), ask["cid"].to_numpy(), strict=True):
             at, score = block.search(q, order, m, k + 1)

@@ -109,6 +109,25 @@ def test_neighbours(spark):
     assert found[found.query_id == 0].vec_id.tolist() == [1000, 1001, 1002, 1003, 1004]  # equal vectors, least ids first
 
 
+def test_recall_of_neighbours(spark):
+    """Vectors without structure are the hardest: of the five nearest, nine in ten at least are found."""
+    x = np.random.default_rng(9).normal(size=(12_000, 32)).astype("float32")
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = ann.search(table).toPandas()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u[::50] @ u.T
+    near[np.arange(240), np.arange(0, 12_000, 50)] = -2
+    exact = np.argsort(-near, axis=1, kind="stable")[:, :5]
+    mine = found.groupby("query_id").vec_id.apply(set)
+    assert len(found) == 1200 and sum(len(mine[50 * i] & set(e.tolist())) for i, e in enumerate(exact)) / 1200 >= 0.9
+
+
+def test_neighbours_of_any_size_and_of_repeated_ids(spark):
+    rows = [(0, [1e200, 1e200]), (50, [1e-200, 0.0]), (7, [1e-300, 1e300]), (8, [3.0, 4.0]), (8, [9.0, 1.0])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[0, 1] == (8, pytest.approx(7 / 5 / 2**0.5)) and got[50, 1][0] == 0 and got[50, 2] == (8, pytest.approx(0.6)) and len(got) == 6
+
+
 def test_neighbours_small(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r)[:3] for r in ann.search(few).collect()) == [(0, 1, 7), (0, 2, 50), (50, 1, 7), (50, 2, 0)]
