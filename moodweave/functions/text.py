@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,6 +87,18 @@ def negated_positions(words: Column, cues: Column | tuple[str, ...], window: int
     return let(words, marked)
 
 
+def negated_flags(words: Column, cues: Column | tuple[str, ...], window: int = NEGATION_WINDOW) -> Column:
+    """Whether each token is in the window after a cue; one look at so many tokens before it, whatever their number."""
+    is_cue = (lambda w: w.isin(*cues)) if isinstance(cues, tuple) else (lambda w: F.array_contains(cues, w))
+
+    def marked(c: Column) -> Column:
+        before = lambda i: [F.coalesce(F.get(c, i - d), F.lit(False)) for d in range(1, window + 1)]
+        after = F.transform(c, lambda _, i: reduce(lambda a, b: a | b, before(i)))
+        return F.when(F.exists(c, lambda x: x), after).otherwise(F.array_repeat(F.lit(False), F.size(c)))
+
+    return let(F.transform(words, is_cue), marked)
+
+
 def count_char(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 

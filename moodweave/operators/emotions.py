@@ -7,27 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.domains import FEATURE_ORDER, INVERTED_WEIGHT, KEPT_WEIGHT, inverse_of
-from .sizes import checked
+from .sizes import checked, few_values
 
 STYLE = ("exclamation_count", "question_count", "repeated_exclamation", "repeated_question", "uppercase_ratio")
 NEGATION = ("has_negation", "negation_window_size", "negation_ratio")
 #: The 24 features in their fixed order; the first 21 are the compatible form.
 FEATURES = (*[f"count_{e}" for e in FEATURE_ORDER], *[f"intensity_{e}" for e in FEATURE_ORDER], *STYLE, *NEGATION)
 COMPATIBLE = FEATURES[:21]
+#: Most words of a lexicon that are looked up before tokens become rows.
+LOOKED_UP = 20_000
 
 
 def prepare(docs: DataFrame, cues=None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with ``tokens`` and ``negated`` (positions). ``cues``: a tuple for all languages, or by language."""
+    """``docs`` with ``tokens``, ``negated`` (positions) and ``flags`` (of each token, whether it is negated).
+
+    ``cues``: a tuple for all languages, or by language. What a query doesn't read is not computed.
+    """
     chosen = cues if isinstance(cues, tuple) else T.cue_array(F.col(lang), cues)
     out = docs.withColumn("tokens", T.prepared(F.col(text)))
-    return out.withColumn("negated", T.negated_positions(F.col("tokens"), chosen))
+    return out.withColumn("negated", T.negated_positions(F.col("tokens"), chosen)).withColumn("flags", T.negated_flags(F.col("tokens"), chosen))
+
 
+def token_rows(prepared: DataFrame, *keep: str, outer: bool = False, words: list[str] | None = None, romanian: bool = False) -> DataFrame:
+    """A row per token: ``keep``, pos, token, is_negated. With ``words``, only of these tokens.
 
-def token_rows(prepared: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
-    """A row per token: ``keep``, pos, token, is_negated."""
-    explode = F.posexplode_outer if outer else F.posexplode
-    rows = prepared.select(*keep, "negated", explode("tokens").alias("pos", "token"))
-    return rows.withColumn("is_negated", F.coalesce(F.array_contains("negated", F.col("pos")), F.lit(False))).drop("negated")
+    With ``outer``, a document without such a token has one row without a token.
+    """
+    explode = F.explode_outer if outer else F.explode
+    each = "transform(arrays_zip(tokens, flags), (t, i) -> struct(i AS pos, t.tokens AS token, t.flags AS is_negated))"
+    if words is not None:
+        probe = "translate(t.tokens, 'şŞţŢ', 'șȘțȚ')" if romanian else "t.tokens"
+        listed = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words) or "NULL"
+        each = f"filter(transform(arrays_zip(tokens, flags), (t, i) -> CASE WHEN {probe} IN ({listed}) THEN struct(i AS pos, t.tokens AS token, t.flags AS is_negated) END), t -> t IS NOT NULL)"
+    rows = prepared.select(*keep, explode(F.expr(each)).alias("t"))
+    return rows.select(*keep, "t.pos", "t.token", F.coalesce("t.is_negated", F.lit(False)).alias("is_negated"))
 
 
 def matches(rows: DataFrame, lexicon: DataFrame, romanian: bool = False, how: str = "inner") -> DataFrame:
@@ -37,6 +50,13 @@ def matches(rows: DataFrame, lexicon: DataFrame, romanian: bool = False, how: st
     return rows.withColumn("_probe", probe).join(words, F.col("_probe") == F.col("_word"), how).drop("_probe", "_word")
 
 
+def hits(prepared: DataFrame, lexicon: DataFrame, *keep: str, romanian: bool = False, outer: bool = False) -> DataFrame:
+    """The lexicon matches of prepared documents. Of a lexicon of bearable size, only tokens that it holds become rows."""
+    words = few_values(lexicon.where("word IS NOT NULL").select("word"), LOOKED_UP)
+    rows = token_rows(prepared, *keep, outer=outer, words=words, romanian=romanian)
+    return matches(rows, lexicon, romanian, "left" if outer else "inner")
+
+
 def score_of(emotion: str) -> Column:
     """The sum of an emotion's scores: a negated word gives half to its inverse and a tenth to itself."""
     here, turned = F.col("emotion") == emotion, inverse_of(F.col("emotion")) == emotion
@@ -67,9 +87,10 @@ def lexicon_features(docs: DataFrame, lexicon: DataFrame, cues=None, romanian: b
     """
     ready = prepare(docs, cues)
     side = {**T.style(F.col("text"))}
-    side |= {k: v for k, v in T.negation_features(F.size("negated"), F.size("tokens")).items() if k in NEGATION}
-    ready = ready.select(key, "tokens", "negated", *[v.alias(k) for k, v in side.items()])
-    rows = matches(token_rows(ready, key, *side, outer=True), lexicon, romanian, "left")
+    negated = F.size(F.filter("flags", lambda x: x))
+    side |= {k: v for k, v in T.negation_features(negated, F.size("tokens")).items() if k in NEGATION}
+    ready = ready.select(key, "tokens", "flags", *[v.alias(k) for k, v in side.items()])
+    rows = hits(ready, lexicon, key, *side, romanian=romanian, outer=True)
     counted = [count_of(e).cast("double").alias(f"count_{e}") for e in FEATURE_ORDER]
     summed = [F.round(score_of(e), 6).alias(f"intensity_{e}") for e in FEATURE_ORDER]
     firsts = [F.first(c).cast("double").alias(c) for c in side]

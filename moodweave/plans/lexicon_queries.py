@@ -72,7 +72,7 @@ def lexicon_max_merge(spark, sf):
 
 def matched(spark, sf):
     ready = emotions.prepare(table(spark, sf, "documents"), CUES)
-    return emotions.matches(emotions.token_rows(ready, "doc_id"), lexicon(spark))
+    return emotions.hits(ready, lexicon(spark), "doc_id")
 
 
 @query("lexicon_matches", f"WITH {HIT} SELECT doc_id, CAST(pos AS INTEGER) AS pos, token, emotion, score, is_neg AS is_negated FROM hit")

@@ -231,8 +231,7 @@ _SCALED = ["count_trust", "intensity_joy", "question_count", "count_surprise"]
     + " FROM f",
 )
 def scale_no_center(spark, sf):
-    features = lexicon_features(spark, sf).select("doc_id", *_SCALED)
-    out = scaling.scaled(features, scaling.fit(features, _SCALED))
+    out = scaling.standardised(lexicon_features(spark, sf).select("doc_id", *_SCALED), _SCALED)
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in _SCALED])
 
 
@@ -245,8 +244,7 @@ def scale_no_center(spark, sf):
     + " FROM f, s",
 )
 def scale_center_clip(spark, sf):
-    features = lexicon_features(spark, sf).select("doc_id", *_SCALED)
-    out = scaling.scaled(features, scaling.fit(features, _SCALED), center=True, clip=10.0, least=1e-10)
+    out = scaling.standardised(lexicon_features(spark, sf).select("doc_id", *_SCALED), _SCALED, center=True, clip=10.0, least=1e-10)
     # -0.0 and 0.0 are one value
     return out.select("doc_id", *[(F.round(c, 6) + 0.0).alias(c) for c in _SCALED])
 
@@ -478,8 +476,8 @@ def first_errors(spark, sf):
 @query("error_samples")
 def error_samples(spark, sf):
     errors = evaluate.first_errors(_predicted(spark, sf)).select("doc_id", "text", "label", "prediction")
-    ready = errors.select("doc_id", T.tokens(F.lower(T.plain(F.col("text")))).alias("tokens"), F.array().cast("array<int>").alias("negated"))
-    scores = emotions.emotion_scores(emotions.matches(emotions.token_rows(ready, "doc_id"), lexicon(spark)), "doc_id")
+    ready = errors.select("doc_id", T.tokens(F.lower(T.plain(F.col("text")))).alias("tokens"), F.array().cast("array<boolean>").alias("flags"))
+    scores = emotions.emotion_scores(emotions.hits(ready, lexicon(spark), "doc_id"), "doc_id")
     top = tfidf.top_terms(tfidf.tfidf(errors, "word", tfidf.Settings(max_words=5000), table(spark, sf, "documents")))
     return evaluate.error_samples(errors, top, scores)
 

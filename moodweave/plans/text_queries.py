@@ -135,7 +135,7 @@ def negation_features(spark, sf):
 )
 def negated_emotion_words(spark, sf):
     ready = emotions.prepare(table(spark, sf, "documents"), CUES)
-    matched = emotions.matches(emotions.token_rows(ready, "doc_id"), lexicon(spark))
+    matched = emotions.hits(ready, lexicon(spark), "doc_id")
     return emotions.negated_words(matched, "doc_id").select("doc_id", F.array_join("words", " ").alias("words"))
 
 
