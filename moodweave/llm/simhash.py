@@ -41,11 +41,13 @@ TRIE = 1000
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: Parts of a wide fingerprint, of 64 bits each; the bits at which a walk begins in the ring of all.
 PARTS = ("f0", "f1", "f2", "f3")
-OFFSETS = tuple(range(0, 256, 16))
+OFFSETS = tuple(256 * i // 12 for i in range(12))
 #: Errors within the first bits of a walk, within its 64 bits, and within these and 64 others.
 FIRST, WALK, BOTH = (24, 2), 18, 30
-#: Shingles of the texts that one task compares; a larger group is dealt as pairs of such parts.
-CROWD = 60_000
+#: Bands that lead at least, however few the fingerprints.
+LEAD = 2
+#: Shingles of a part of a group; a larger group is dealt as pairs of parts. Beyond so many parts, parts grow to the second size.
+CROWD, CROWDS, MOST = 20_000, 64, 2_000_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -144,9 +146,8 @@ class Tables:
         self.choices = list(combinations(range(n), shared))
 
     @classmethod
-    def of(cls, n: int, bits: int, errors: int) -> Tables:
-        """The fewest shared bands at which tries of ``n`` fingerprints are small on the average."""
-        shared = 1
+    def of(cls, n: int, bits: int, errors: int, shared: int = 1) -> Tables:
+        """The fewest shared bands, from ``shared`` on, at which tries of ``n`` fingerprints are small on the average."""
         while n >> (bits * shared // (errors + shared)) > TRIE // 4 and comb(errors + shared + 1, shared + 1) <= 80:
             shared += 1
         return cls(bits, errors, shared)
@@ -328,7 +329,8 @@ def set_links(sets: list[np.ndarray], sides: list[int] | None = None, similarity
 def verified(sets: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) whose components are those of all alike pairs within a group. ``sets``: staged group, node, items."""
     sizes = sets.groupBy("group").agg(F.sum(F.size("items") + 1).alias("size")).where(F.col("size") > crowd)
-    parts = F.ceil(F.coalesce("size", F.lit(1)) / crowd).cast("int")
+    size = F.coalesce("size", F.lit(1))
+    parts = F.greatest(F.least(F.ceil(size / crowd), F.lit(CROWDS)), F.ceil(size / MOST)).cast("int")
     dealt = sets.join(checked(stage(sizes)), "group", "left").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
     keys = ["group", "p", "q"]
     dealt = dealt.withColumn("pair", F.explode(_part_pairs(parts))).select("group", "node", "items", "own", "pair.p", "pair.q")
@@ -359,7 +361,7 @@ def similar(docs: DataFrame, width: int = WIDE_SHINGLE, similarity: float = SIMI
     # Texts of the same words are one node, and one of them stands for all.
     nodes = rows.groupBy("c", "d").agg(F.min("did").alias("did"), F.min_by("tid", "did").alias("tid"), *[F.max(x).alias(x) for x in PARTS])
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()))
-    found = links(nodes, rings(), Tables.of(nodes.count(), *FIRST), WALK, FIRST, BOTH)
+    found = links(nodes, rings(), Tables.of(nodes.count(), *FIRST, LEAD), WALK, FIRST, BOTH)
     loose = components(found)
     wanted = stage(nodes.select("did", "tid", "node").join(loose, "node").withColumnRenamed("component", "group"))
 
