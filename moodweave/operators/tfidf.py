@@ -86,3 +86,9 @@ def chi2(weights: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFram
     every = whole.crossJoin(F.broadcast(share)).join(seen, ["term", "label"], "left")
     e, o = F.col("total") * F.col("p"), F.coalesce("o", F.lit(0.0))
     return every.groupBy("term").agg(F.sum((o - e) * (o - e) / e).alias("chi2"))
+
+
+def chi2_top(weights: DataFrame, labels: DataFrame, k: int, key: str = "doc_id", digits: int = 9) -> DataFrame:
+    """The rows of ``weights`` of the ``k`` terms of largest chi-squared statistic (rounded), ties by term."""
+    best = chi2(weights, labels, key).withColumn("s", F.round("chi2", digits)).orderBy(F.desc("s"), "term").limit(k)
+    return weights.join(F.broadcast(best.select("term")), "term", "left_semi")

@@ -220,6 +220,25 @@ def chi2_select_whole(spark, sf):
     return tfidf.chi2(weights, docs.select("doc_id", F.col("role").alias("label"))).withColumn("chi2", F.round("chi2", 5))
 
 
+_TOP_SQL = f"""WITH {_WORD_SQL}, y AS (SELECT doc_id, role AS label FROM docs), p AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM y GROUP BY label),
+    o AS (SELECT term, label, sum(weight) AS o FROM weights JOIN y USING (doc_id) GROUP BY 1, 2), t AS (SELECT term, sum(o) AS total FROM o GROUP BY term),
+    c AS (SELECT term, round(sum((coalesce(o, 0) - total * p) * (coalesce(o, 0) - total * p) / (total * p)), 6) AS s FROM t CROSS JOIN p LEFT JOIN o USING (term, label) GROUP BY term),
+    best AS (SELECT term FROM c ORDER BY s DESC, term LIMIT 10000)
+    SELECT doc_id, term, round(weight, 6) AS weight FROM weights SEMI JOIN best USING (term)"""
+
+
+@query("chi2_top_k", _TOP_SQL)
+def chi2_top_k(spark, sf):
+    docs = _conversations(spark, sf)
+    best = tfidf.chi2_top(tfidf.tfidf(docs, "word"), docs.select("doc_id", F.col("role").alias("label")), 10_000, digits=6)
+    return _six(best).select("doc_id", "term", "weight")
+
+
+@query("tfidf_improved_chars", f"WITH {_weights(_char_terms(3, 6), 25_000, '(1 + ln(tf))', 'HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT n FROM n)')} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
+def tfidf_improved_chars(spark, sf):
+    return _six(tfidf.tfidf(_conversations(spark, sf), "char", tfidf.IMPROVED))
+
+
 # ---- scaling ----
 _SCALED = ["count_trust", "intensity_joy", "question_count", "count_surprise"]
 
@@ -253,8 +272,7 @@ def scale_center_clip(spark, sf):
 def _gold(spark, sf):
     features = lexicon_features(spark, sf)
     docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("label"))
-    # Read by several fits: the text and 24 numbers a document.
-    return docs.join(features, "doc_id").persist()
+    return docs.join(features, "doc_id")
 
 
 def _fit_predict(train, test, estimator, names):
@@ -296,23 +314,30 @@ def train_tfidf_lr(spark, sf):
 
 @query("model_selection")
 def model_selection(spark, sf):
-    df, _ = _coded(_gold(spark, sf))
+    df, _ = _coded(_gold(spark, sf).drop("text"))
     train, val, _ = _parts(df)
     fitted = scaling.fit(train, list(emotions.FEATURES))
     ready = lambda x: models.assembled(scaling.scaled(x, fitted, True, 10.0, 1e-10), list(emotions.FEATURES)).cache()
+    # Read by every fit: 24 numbers a document.
     learnt, held, n = ready(models.weighted(train)), ready(val), train.count()
-    candidates = {"lr": models.logistic(2.0, n), "svm": models.svm(1.0, n), "rf": models.forest()}
-    best, _, scores = models.select_best(candidates, learnt, held)
+    try:
+        best, _, scores = models.select_best(models.candidates(n, len(emotions.FEATURES)), learnt, held)
+    finally:
+        learnt.unpersist()
+        held.unpersist()
     return spark.createDataFrame([(k, v, k == best) for k, v in scores.items()], "kind string, macro_f1 double, chosen boolean")
 
 
 @query("embedding_hybrid")
 def embedding_hybrid(spark, sf):
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("label"), "embedding")
-    df, names = _coded(models.embedding_vector(vectors).withColumn("norm", F.array_max("embedding").cast("double")))
-    train, _, test = _parts(df)
-    ready = models.hybrid(["embedding_vec", "norm"])
-    return _fit_predict(ready.transform(models.weighted(train)), ready.transform(test), models.logistic(n=train.count()), names)
+    """TF-IDF, embedding and scaled lexicon features side by side, for the documents that have an embedding."""
+    from ..operators import service
+
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", F.col("lang").alias("label")).join(vectors, "doc_id")
+    model, names, note = service.train(docs, "hybrid", lexicon(spark), cues=CUES)
+    given = service.ready(models.embedding_vector(docs), "hybrid", lexicon(spark), note["scaling"], CUES)
+    return models.predictions(model.transform(given), names, ["doc_id", "label"])
 
 
 @query(
@@ -400,8 +425,40 @@ def ranked_probabilities(spark, sf):
 
 @query("predict_batch")
 def predict_batch(spark, sf):
+    from ..operators import service
+
     scored = train_lexicon_lr(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return predict.display(predict.with_flip(scored, CUES)).select("doc_id", "prediction", "confidence", "percent", "few_words", "low_confidence")
+    done = service.finished(scored, "lexicon", len(emotions.FEATURES), CUES)
+    return predict.display(done).select("doc_id", "prediction", "confidence", "percent", "few_words", "low_confidence")
+
+
+_SERVED = (("lexicon", 24), ("lexicon", 21), ("hybrid", 24), ("hybrid", 21), ("ml", None))
+_SERVED_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS model, CAST({width or 0} AS INTEGER) AS width, "
+    + (
+        "final AS prediction, round(joy, 6) AS joy, round(CASE final WHEN 'joy' THEN joy WHEN 'sadness' THEN sadness WHEN 'neutral' THEN neutral WHEN 'disgust' THEN disgust ELSE 0.0 END::DOUBLE, 6) AS confidence FROM g"
+        if kind == "ml" or width == 21
+        else "prediction, round(joy, 6) AS joy, round(CASE prediction WHEN 'joy' THEN joy WHEN 'sadness' THEN sadness WHEN 'neutral' THEN neutral ELSE disgust END, 6) AS confidence FROM p"
+    )
+    for kind, width in _SERVED
+)
+
+
+@query("serve_flip", f"WITH {_FLIPPED} {_SERVED_SQL}")
+def serve_flip(spark, sf):
+    """The same predictions as served by each kind and width of model: flipped only where the model doesn't see negation."""
+    from functools import reduce
+
+    from ..operators import service
+
+    out = [
+        service.finished(_predicted(spark, sf), kind, width, CUES).select(
+            "doc_id", F.lit(kind).alias("model"), F.lit(width or 0).cast("int").alias("width"), "prediction",
+            F.round(F.try_element_at("probabilities", F.lit("joy")), 6).alias("joy"), F.round("confidence", 6).alias("confidence"),
+        )
+        for kind, width in _SERVED
+    ]
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 # ---- evaluation ----
@@ -485,17 +542,27 @@ def error_samples(spark, sf):
 _KINDS = ["lexicon", "ml", "hybrid"]
 
 
-@query(
-    "comparison_pivot",
-    """WITH r AS (SELECT lang, CASE ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 1))::INTEGER % 2 WHEN 0 THEN 'lexicon' ELSE 'ml' END AS model, n_chars FROM documents),
-    a AS (SELECT lang, model, round(avg(n_chars), 6) AS x FROM r GROUP BY 1, 2)
-    SELECT lang, coalesce(max(x) FILTER (WHERE model = 'lexicon'), 0.0) AS lexicon, coalesce(max(x) FILTER (WHERE model = 'ml'), 0.0) AS ml, 0.0::DOUBLE AS hybrid FROM a GROUP BY lang""",
+_MODEL_SQL = f"""{_PREDICTED}, r AS (SELECT d.lang, ['lexicon', 'ml'][{_digit(13)} % 2 + 1] AS model, p.label, p.prediction FROM p JOIN documents d USING (doc_id)),
+q AS (SELECT lang, model, label, prediction, count(*) AS n FROM r GROUP BY ALL),
+k AS (SELECT DISTINCT lang, model, label AS c FROM q UNION SELECT DISTINCT lang, model, prediction FROM q),
+s AS (SELECT k.lang, k.model, c, coalesce(sum(n) FILTER (WHERE label = c), 0) AS support, coalesce(sum(n) FILTER (WHERE prediction = c), 0) AS found,
+  coalesce(sum(n) FILTER (WHERE label = c AND prediction = c), 0) AS hit FROM k JOIN q ON k.lang = q.lang AND k.model = q.model GROUP BY 1, 2, 3),
+f AS (SELECT *, CASE WHEN support + found = 0 THEN 0.0 ELSE 2.0::DOUBLE * hit / (support + found) END AS f1 FROM s),
+m AS (SELECT lang, model, sum(hit)::DOUBLE / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1 FROM f GROUP BY 1, 2)"""
+_METRICS = ("accuracy", "macro_f1", "weighted_f1")
+_PIVOT_SQL = " UNION ALL ".join(
+    f"SELECT '{x}' AS metric, lang, " + ", ".join(f"round(coalesce(max({x}) FILTER (WHERE model = '{k}'), 0.0), 9) AS {k}" for k in _KINDS) + " FROM m GROUP BY lang"
+    for x in _METRICS
 )
+
+
+@query("comparison_pivot", f"WITH {_MODEL_SQL} {_PIVOT_SQL}")
 def comparison_pivot(spark, sf):
-    bit = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1), 16, 10).cast("int") % 2
-    rows = table(spark, sf, "documents").select("lang", F.when(bit == 0, "lexicon").otherwise("ml").alias("model"), "n_chars")
-    results = rows.groupBy("lang", "model").agg(F.round(F.avg("n_chars"), 6).alias("accuracy"))
-    return evaluate.comparison(results, _KINDS)
+    """Accuracy, macro-F1 and weighted F1 of two models, by language; the third model has no results."""
+    bit = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 13, 2), 16, 10).cast("int") % 2
+    rows = _predicted(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    rows = rows.withColumn("model", F.when(bit == 0, "lexicon").otherwise("ml"))
+    return evaluate.comparisons(evaluate.by_group(rows, "lang", "model"), _KINDS, _METRICS)
 
 
 @query("priority_corpus", "SELECT text, CASE WHEN role = 'user' THEN 'joy' ELSE 'sadness' END AS label FROM conversations WHERE trim(text) <> ''")
