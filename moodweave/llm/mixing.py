@@ -4,8 +4,9 @@ Sizes are aggregated per source; a source's rate is its target over its size; a
 ``floor(rate)`` times, and once more if a hash of its id falls below the fraction of the rate.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others; a
-source without words has target 0 and takes nothing; rows with equal doc_id (null too) share the
-draw; an empty table gives an empty mix; columns beyond doc_id, text and source are carried along.
+source without words has target 0 and takes nothing; rows with equal doc_id share the
+draw, and rows without one draw each for itself, by text and number among equal rows; an empty table gives an empty mix;
+columns beyond doc_id, text and source are carried along.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checked, count_words, stage, unit_hash
+from .common import checked, count_words, gapless, plain, stage, unit_hash
 
 SEED = "mix-1"
 WEIGHTS = (3, 1, 2)
@@ -22,50 +23,72 @@ WEIGHTS = (3, 1, 2)
 TOTAL, MOST = 1.5, 2.0
 
 
+def _with_sums_before(rows: DataFrame, order: list[Column], *names: str) -> DataFrame:
+    """``rows`` in an order, with a number ``_rank`` and, for each name, the sum over all earlier rows (``name_before``).
+
+    Rows are sorted and summed in parts; only one row a part comes together, so no task holds all of them.
+    """
+    placed = stage(rows.orderBy(*order).withColumn("_rank", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_rank", 33))
+    sums = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in names])
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0.0)).alias(f"_{c}") for c in names])
+    inner = Window.partitionBy("_part").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    before = [(F.col(f"_{c}") + F.coalesce(F.sum(c).over(inner), F.lit(0.0))).alias(f"{c}_before") for c in names]
+    return placed.join(starts, "_part").select(*rows.columns, "_rank", *before)
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
     """Per source: size and target. ``sizes``: source, source_size, a row per source.
 
     Targets are ``min(most * size, level * weight)`` at the level where they sum to ``total`` times
-    all sizes, which is where resharing what stands above a source's bound ends. The windows run
-    over one row per source, not over documents.
+    all sizes, which is where resharing what stands above a source's bound ends. Sources may be many: they
+    are ranked in parts.
     """
-    by_name = Window.orderBy(F.col("source").isNotNull().desc(), F.col("source"))
-    ranked = sizes.withColumn("_i", (F.row_number().over(by_name) - 1) % len(weights)).withColumn(
-        "_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_i") + 1).cast("int"))
-    )
-    capped = ranked.withColumn("_cap", F.col("source_size") * F.lit(most)).withColumn("_ratio", F.col("_cap") / F.col("_w"))
-    tie = [F.col("_ratio"), F.col("source").isNotNull().desc(), F.col("source")]
-    before = Window.orderBy(*tie).rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy(*tie).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (
-        F.lit(total) * F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    ) / F.sum("_w").over(rest)
+    first = [F.col("source").isNotNull().desc(), F.col("source")]
+    named = _with_sums_before(sizes.withColumn("_one", F.lit(1.0)), first, "_one")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_one_before").cast("long") % len(weights) + 1).cast("int"))
+    ranked = named.select("source", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(most)).alias("cap"))
+    ranked = _with_sums_before(ranked.withColumn("ratio", F.col("cap") / F.col("w")), [F.col("ratio"), *first], "cap", "w")
+    whole = ranked.agg(F.sum("source_size").alias("all"), F.sum("w").alias("all_w"))
     # If all sources before the row stand at their bounds, this is the level for the row and the rest.
-    levels = capped.withColumn("_level", level).withColumn("_rank", F.row_number().over(Window.orderBy(*tie)))
-    free = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_rank", "_level"))).over(every)["_level"]
-    return levels.withColumn("_at", free).select(
-        "source",
-        "source_size",
-        F.coalesce(F.least("_cap", F.col("_at") * F.col("_w")), F.col("_cap")).cast("double").alias("target"),
-    )
+    level = (F.lit(total) * F.col("all") - F.col("cap_before")) / (F.col("all_w") - F.col("w_before"))
+    levels = ranked.crossJoin(F.broadcast(whole)).withColumn("level", level)  # one row
+    free = levels.agg(F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("_rank", "level"))).alias("free"))
+    at = levels.crossJoin(F.broadcast(free))  # one row
+    return at.select("source", "source_size", F.coalesce(F.least("cap", F.col("free.level") * F.col("w")), F.col("cap")).cast("double").alias("target"))
 
 
-def copies(rate: Column, seed: str, doc_id: Column) -> Column:
+def copies(rate: Column, draw: Column) -> Column:
     """``floor(rate)``, and one more with probability of the fraction."""
     whole = F.floor(rate)
-    return (whole + F.when(unit_hash(seed, doc_id) < rate - whole, 1).otherwise(0)).cast("long")
+    return (whole + F.when(draw < rate - whole, 1).otherwise(0)).cast("long")
+
+
+def drawn(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """``docs`` with a number in [0, 1) for each row, ``_draw``.
+
+    Rows without an id draw by their text and their number among rows of the same source and text; as these rows
+    are alike, it doesn't matter which is which.
+    """
+    named = docs.where("doc_id IS NOT NULL").withColumn("_draw", unit_hash(seed, F.col("doc_id")))
+    nameless = docs.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return named
+    keyed = nameless.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).withColumn("_text", F.md5(plain(F.col("text"))))
+    numbered = gapless(keyed, ["_source", "_text"], "_number")
+    own = unit_hash(seed, F.lit("null"), F.col("_text"), F.col("_number"))
+    return named.unionByName(numbered.withColumn("_draw", own).drop("_source", "_text", "_number"))
 
 
 def plan(docs: DataFrame, seed: str = SEED, **law) -> DataFrame:
     """Each row of ``docs`` with size, source_size, target and n_copies, one row per input row."""
-    sized = docs.withColumn("size", count_words(F.col("text")))
-    per_source = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    per_source = docs.groupBy("source").agg(F.sum(count_words(F.col("text"))).cast("long").alias("source_size"))
     # A row per source: with few sources no text is shuffled, with very many Spark splits hot ones.
-    law = stage(targets(per_source, **law).withColumnRenamed("source", "_source"))
+    law = stage(targets(stage(per_source), **law).withColumnRenamed("source", "_source"))
+    sized = drawn(docs, seed).withColumn("size", count_words(F.col("text")))
     joined = sized.join(checked(law), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return joined.withColumn("n_copies", copies(rate, seed, F.col("doc_id")))
+    return joined.withColumn("n_copies", copies(rate, F.col("_draw"))).drop("_draw")
 
 
 def mix(docs: DataFrame, seed: str = SEED, **law) -> DataFrame:
@@ -84,7 +107,9 @@ def digest(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')) || ':'
+           || (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1)) AS name
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -104,7 +129,7 @@ WITH d AS (
 ), c AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         ('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+         ('0x' || substr(md5('mix-1:' || d.name), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
