@@ -34,10 +34,14 @@ def layout(n: int, racks: int = 2, per_rack: int = 2) -> list[Shard]:
     return [Shard(f"g{i // (racks * per_rack)}", f"k{i // per_rack % racks}", i) for i in range(n)]
 
 
-def grow(tree: list[Shard], weight: float = 1.0) -> list[Shard]:
-    """One more shard, in a region of its own."""
+def grow(tree: list[Shard], weight: float = 1.0, region: str | None = None, rack: str | None = None) -> list[Shard]:
+    """One more shard: in a region of its own, so that rows move into it only, or at a place of the tree.
+
+    At a place, the weights of its region and rack grow: rows move into that region, and within it to that rack, and rows of
+    other regions don't move among themselves.
+    """
     number = max((s.number for s in tree), default=-1) + 1
-    return [*tree, Shard(f"new{number}", "k0", number, weight)]
+    return [*tree, Shard(region or f"new{number}", rack or "k0", number, weight)]
 
 
 def _choose(key: Column, children: list[tuple[str, float, Column]]) -> Column:
