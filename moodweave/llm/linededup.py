@@ -10,8 +10,8 @@ if a near line stands first at an earlier place; places are ordered by doc_id,
 a hash of the whole text and line number, so that a removal only reaches the text it was found in.
 
 Defined results: lines without a word (empty ones, white space) always stay; a null text stays null, and a text whose lines all
-go is left empty; rows that repeat a doc_id (or its absence) with the same text share their
-places, so they change alike, and with different texts have places of their own; a null doc_id
+go is left empty; of rows that repeat a doc_id (or its absence) with the same text one stands for all, and the others keep only
+lines without a word, and with different texts they have places of their own; a null doc_id
 orders before all others; an empty table gives no rows; further columns are kept.
 """
 
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, id_key, plain, release, row_key, stage
+from .common import checked, gapless, id_key, plain, release, row_key, stage
 from .quality_rules import let
 
 #: (least length, edits): what the shorter line of a pair allows, the longest first.
@@ -254,28 +254,53 @@ def judged(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return out
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def twins(lines: DataFrame) -> DataFrame:
+    """did and tid of the texts that several equal rows hold; staged."""
+    rows = lines.where("line_no = 0").groupBy("did", "tid").agg(F.count("*").alias("n"))
+    return stage(rows.where("n > 1").select("did", "tid"))
+
+
+def numbered(rows: DataFrame, equal: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``copy``, their number among the rows of ``keys`` for texts of ``equal`` rows; 0 for all others.
+
+    As such rows are alike, it doesn't matter which is which.
+    """
+    if equal.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    several = gapless(rows.join(checked(equal), ["did", "tid"], "left_semi"), list(keys), "copy").select(*rows.columns, "copy")
+    return rows.join(checked(equal), ["did", "tid"], "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(several)
+
+
+def removals(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """did, tid and the numbers of the text's lines that go; staged."""
-    lines = stage(occurrences(docs))
     marked = judged(docs, lines)
     rows = lines.select("did", "tid", "line_no", "h1", "h2").join(checked(marked), ["h1", "h2"])
     gone = rows.where(F.col("near") | (F.struct("did", "tid", "line_no") != F.col("first")))
     out = stage(gone.groupBy("did", "tid").agg(F.collect_set("line_no").alias("gone")))
-    release(lines, marked)
+    release(marked)
     return out
 
 
 def dedup(docs: DataFrame, counted: str = "n_removed") -> DataFrame:
     """``docs`` without the lines that go, and the number of them (in place of a column of that name)."""
-    gone = removals(docs)
+    lines = stage(occurrences(docs))
+    gone, equal = removals(docs, lines), twins(lines)
+    release(lines)
     # The whole row travels as one column, so that its names clash with none of ours.
-    rows = docs.select(*row_key(), F.struct(*docs.columns).alias("row")).join(checked(gone), ["did", "tid"], "left")
-    left = lambda s: F.transform(F.array_except(F.sequence(F.lit(0), F.size(s) - 1), "gone"), lambda i: F.get(s, i))
-    text = F.col("row.text")
-    cut = F.when(F.col("gone").isNull(), text).otherwise(let(F.split(text, "\n"), lambda s: F.array_join(left(s), "\n")))
-    removed = F.when(text.isNull(), 0).otherwise(F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias(counted)
+    rows = numbered(docs.select(*row_key(), F.struct(*docs.columns).alias("row")), equal, "did", "tid")
+    rows = rows.join(checked(gone), ["did", "tid"], "left")
+    text, again = F.col("row.text"), F.col("copy") > 0
+
+    def left(s: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(s) - 1), F.coalesce("gone", F.array().cast("array<int>")))
+        return F.when(again, F.filter(s, lambda x: ~x.rlike(_WORD))).otherwise(F.transform(stay, lambda i: F.get(s, i)))
+
+    cut = let(F.split(text, "\n"), lambda s: let(left(s), lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(s) - F.size(kept)).alias("n"))))
+    changed = text.isNotNull() & (again | F.col("gone").isNotNull())
+    rows = rows.select("row", F.when(changed, cut).alias("cut"))
     names = [c for c in docs.columns if c != counted]
-    return rows.select(*[cut.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names], removed)
+    new = F.coalesce("cut.text", "row.text").alias("text")
+    return rows.select(*[new if c == "text" else F.col("row")[c].alias(c) for c in names], F.coalesce("cut.n", F.lit(0)).cast("long").alias(counted))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -284,12 +309,14 @@ def digest(docs: DataFrame) -> DataFrame:
     ``n_links`` counts the other texts that are near; the class of a line without a word is null.
     """
     lines = stage(occurrences(docs))
+    marked = checked(judged(docs, lines))
     place = F.struct("did", "tid", "line_no")
-    known = lines.drop("keys").join(checked(judged(docs, lines)), ["h1", "h2"], "left")
+    each = numbered(lines.select("doc_id", "did", "tid", "line_no", "h1", "h2"), twins(lines), "did", "tid", "line_no")
+    known = each.join(marked, ["h1", "h2"], "left")
     known = known.withColumn("at", F.when(F.col("h1").isNotNull(), F.coalesce("first", place)))
     named = F.when(F.col("at.did") != id_key(F.lit(None)), F.col("at.did"))
+    gone = F.col("near") | (place != F.col("at")) | ((F.col("copy") > 0) & F.col("h1").isNotNull())
     return known.select(
         "doc_id", "line_no", named.alias("class_doc_id"), F.col("at.line_no").alias("class_line_no"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.col("near") | (place != F.col("at")), F.lit(False)).alias("removed"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(gone, F.lit(False)).alias("removed"),
     )

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import math
 import random
 import re
 import time
@@ -66,8 +67,23 @@ def test_sharding(spark, docs):
     assert len(rows) == docs.count()
     expected = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in pairs(docs))
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == expected
+    # The draws of the tree, written down a second time: regions of two racks of two shards, all of weight 1.
+    def draw(path, doc_id, weight):
+        u = int(hashlib.md5(f"tree-1:{path}:{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        return -math.log(1 - u) / weight
+
+    def place(doc_id, grown):
+        best = lambda names, weight: min(names, key=lambda x: draw(x, doc_id, weight(x)))
+        region = best([*(f"g{i}" for i in range(4)), *(["new16"] if grown else [])], lambda x: 1 if x == "new16" else 4)
+        if region == "new16":
+            return 16
+        rack = best([f"{region}/k{i}" for i in range(2)], lambda _: 2)
+        first = 4 * int(region[1]) + 2 * int(rack[-1])
+        return int(best([f"{rack}/{first + i}" for i in range(2)], lambda _: 1).rpartition("/")[2])
+
     slots = defaultdict(list)
     for r in rows:
+        assert (r["shard"], r["grown_shard"]) == (place(r["doc_id"], False), place(r["doc_id"], True))
         assert r["law"] == "key" and 0 <= r["shard"] < 16
         assert r["grown_shard"] in (r["shard"], 16)
         slots[r["shard"]].append(r["slot"])
@@ -84,6 +100,11 @@ def test_tree(spark):
     moved = [r for r in out if r["shard"] != r["h"]]
     region = {s.number: s.region for s in tree}
     assert moved and all(region[r["h"]] == "g3" for r in moved)  # only towards the subtree that grew
+    inside = sharding.assign(sharding.assign(ids, tree), sharding.grow(tree, region="g1", rack="k0"), name="g").collect()
+    region[16], rack = "g1", {s.number: (s.region, s.rack) for s in sharding.grow(tree, region="g1", rack="k0")}
+    moved = [r for r in inside if r["shard"] != r["g"]]
+    assert moved and all(region[r["g"]] == "g1" for r in moved) and sum(r["g"] == 16 for r in inside) > 330
+    assert all(rack[r["g"]] == ("g1", "k0") for r in moved if region[r["shard"]] == "g1")  # within the region, only to that rack
 
 
 def test_neighbours(spark):
@@ -197,6 +218,16 @@ def test_line_dedup(spark):
         assert out[key(i)]["n_removed"] == sum(drop(key(i), k, x) for k, x in enumerate((t or "").split("\n")))
 
 
+def test_equal_rows_keep_each_line_once(spark):
+    one, other = "first line of a text\n\nsecond line, somewhat longer than it", "another text altogether\nsecond line, somewhat longer than it"
+    rows = [(None, one)] * 3 + [(7, one)] * 2 + [(8, other)] * 2 + [(9, None)] * 2 + [(10, "")] * 2
+    out = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(x for r in out for x in (r["text"] or "").split("\n") if x) == Counter(set(one.split("\n") + other.split("\n")) - {""})
+    assert sum(r["n_removed"] for r in out) == 2 * 5 + 2 * 2 - 3 and sum(r["text"] is None for r in out) == 2 and len(out) == len(rows)
+    found = linededup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["removed"] for r in found) == 11 and len(found) == 3 * 5 + 2 * 2 + 4
+
+
 def test_short_repeats_go(spark):
     table = spark.createDataFrame([(i, f"Subscribe now!\nthe only line of document {i * 1111}") for i in range(3)], "doc_id long, text string")
     out = {r["doc_id"]: (r["text"].split("\n"), r["n_removed"]) for r in linededup.dedup(table).collect()}
@@ -438,6 +469,30 @@ def test_classifier(spark):
     assert all(r["score"] == 0.5 for r in quality_qda.digest(docs, labels.limit(0)).collect())
 
 
+def test_statistics_against_a_second_version(spark, docs):
+    import regex
+
+    def expected(text):
+        text = text or ""
+        words, lines = python_words(text), [x for x in text.split("\n") if python_words(x)]
+        n, chars = len(words) + 1.0, len(text) + 1.0
+        share = lambda x: math.log(x + 0.01)
+        count = lambda p: len(regex.findall(p, text))
+        return [
+            math.log(n), math.log(sum(map(len, words)) / n + 1), share(count(r"[#*$%&|<>]") / n), share(count("!") / n), share(count(r"\p{Lu}") / chars),
+            math.log(len(set(words)) + 1.0) / math.log(len(words) + 2.0), share((len(lines) - len(set(lines))) / (len(lines) + 1.0)),
+            share(count("[0-9]") / chars), share(count("[.,;:?]") / n),
+        ]
+
+    long = ("Long text, 100 % of it! " * 20_000 + "\n") * 2
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(999, long), (999, long), (None, "A\nA\n b?")], "doc_id long, text string"))
+    for r in table.select("text", quality_qda.statistics(F.col("text")).alias("x")).collect():
+        assert r["x"] == pytest.approx(expected(r["text"]))
+    labels = spark.createDataFrame([(i * 2, i % 2, 0) for i in range(25)], "doc_id long, quality int, toxic int")
+    out = quality_qda.digest(table, labels).collect()
+    assert len(out) == table.count() and len({r["score"] for r in out if r["doc_id"] == 999}) == 1 and all(0 <= r["score"] <= 1 for r in out)
+
+
 def test_discriminant_matches_densities(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(300, 9)), rng.normal(size=(200, 9)) * 2 + 1])
@@ -523,6 +578,22 @@ def test_mixing(spark, docs):
     assert sum(len(python_words(t)) for _, t in pairs(copies)) == sum(r["taken"] for r in out)
 
 
+def test_rows_without_ids_draw_for_themselves(spark):
+    rows = [(None, "one two three", "a") for _ in range(400)] + [(None, f"x y {i}", "a") for i in range(400)] + [(i, "p q r", "b") for i in range(800)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.digest(table).groupBy("source_size", "target").agg(F.sum("taken").alias("n")).collect()
+    assert len(out) == 2 and all(abs(r["n"] - r["target"]) < 0.1 * r["target"] for r in out)
+    same = [Counter(map(tuple, mixing.digest(t).collect())) for t in (table, table.repartition(7))]
+    assert same[0] == same[1]
+    import duckdb
+
+    documents = table.toPandas()  # noqa: F841
+    theirs = duckdb.sql(mixing.SQL).df()
+    ours = mixing.digest(table).toPandas()[list(theirs.columns)]
+    as_rows = lambda x: Counter((None if pd.isna(r[0]) else int(r[0]), *r[1:]) for r in x.itertuples(index=False, name=None))
+    assert as_rows(ours) == as_rows(theirs)
+
+
 @pytest.mark.parametrize("sizes", [[10, 10, 10], [100, 1, 1, 1], [0, 5, 0], [7], [3, 1000, 2, 50, 50, 1]])
 def test_targets(spark, sizes):
     rows = [(f"s{i}" if i else None, n) for i, n in enumerate(sizes)]
@@ -769,6 +840,33 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in packed.collect()} == ids[3]
 
 
+def test_stages_on_odd_rows(spark, docs):
+    """Nulls in every column, repeated rows, very long and empty texts, clashing names: each stage against its own rule."""
+    import corpus_pipeline as pipe
+
+    good = [f"{' '.join(f'w{i}x{k}' for k in range(60))}\nshared line of several words here\nown {i}" for i in range(6)]
+    near = good[0].replace("w0x59", "other")
+    more = [(100 + i, t, "en", "s1", len(t), None, None, None, None, None, None) for i, t in enumerate([*good, near, good[1].upper()])]
+    more += [(None, good[2], None, None, None, None, None, None, None, None, None)] * 2
+    table = docs.unionByName(spark.createDataFrame(more, SCHEMA))
+    kept = pipe.quality(spark, table, "")
+    judged = Counter(r["kept"] for r in quality_rules.digest(table).collect())
+    assert kept.columns == pipe.COLUMNS and kept.count() == judged[True]
+    texts_ = {r["text"] for r in kept.collect()}
+    assert set(good) <= texts_ and None not in texts_ and "" not in texts_
+    lined = stage(pipe.lines(spark, kept, ""))
+    assert lined.columns == pipe.COLUMNS and lined.count() == kept.count()
+    assert sum("shared line" in (r["text"] or "").lower() for r in lined.collect()) == 2  # one in each case
+    assert all(r["n_chars"] in (None, len(r["text"])) for r in lined.collect())
+    one = stage(pipe.near(spark, kept, ""))
+    ids = [r["doc_id"] for r in one.collect()]
+    assert one.columns == pipe.COLUMNS and set(range(100, 106)) <= set(ids) and not {106, 107} & set(ids) and ids.count(None) == len({r["text"] for r in kept.where("doc_id IS NULL").collect()})
+    taken = pipe.mixed(spark, one, "")
+    assert taken.columns == pipe.COLUMNS and max(Counter((r["doc_id"], r["text"]) for r in taken.collect()).values()) <= 2
+    packed = pipe.packed(spark, stage(taken), "").collect()
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r["doc_id"] for r in taken.collect())
+
+
 def test_pipeline_without_documents(spark, tmp_path):
     import corpus_pipeline as pipe
 
