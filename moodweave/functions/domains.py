@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +115,7 @@ SARCASM_MARKS = ("yeah right", "sure", "lol", "haha", "right", "sigur", "bine")
 # Code-point ranges that count as emoji there.
 EMOJI_RANGES = ((0x1F600, 0x1F64F), (0x1F300, 0x1F5FF), (0x1F680, 0x1F6FF), (0x1F1E0, 0x1F1FF), (0x2702, 0x27B0), (0x24C2, 0x1F251))
 
-#: Emoji and the names that take their place in texts; a larger table can be passed instead.
+# Emoji whose names are not those of the Unicode database.
 EMOJI_NAMES = {
     "😀": "grinning_face",
     "😂": "face_with_tears_of_joy",
@@ -136,8 +138,21 @@ EMOJI_NAMES = {
     "🔥": "fire",
     "🙏": "folded_hands",
 }
+#: Blocks in which nearly every character is an emoji.
+EMOJI_BLOCKS = ((0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF), (0x1FA70, 0x1FAFF))
+
+
+def emoji_names() -> dict[str, str]:
+    """Emoji and the names that take their place in texts: those of the Unicode database, but for ``EMOJI_NAMES``."""
+    table = {}
+    for first, last in EMOJI_BLOCKS:
+        for sign in map(chr, range(first, last + 1)):
+            if name := unicodedata.name(sign, ""):
+                table[sign] = name.lower().replace(" ", "_")
+    return table | EMOJI_NAMES
+
 
-#: Part-of-speech suffixes, tried in this order.
+# Part-of-speech suffixes, tried in this order.
 POS_SUFFIXES = (("v", "(are|ere|ire|ă|ează)$"), ("n", "(ie|ție|are)$"), ("a", "(ic|esc|os)$"))
 
 

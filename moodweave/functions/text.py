@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .domains import CUES, EMOJI_NAMES, NEGATION_WINDOW, POS_SUFFIXES
+from .domains import CUES, EMOJI_BLOCKS, EMOJI_NAMES, NEGATION_WINDOW, POS_SUFFIXES, emoji_names
 
 #: A word character is a letter, a number or an underscore of any script.
 WORD = r"[\p{L}\p{N}_]"
+#: Characters that may be emoji.
+_EMOJI_CLASS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in EMOJI_BLOCKS) + "".join(f"\\x{{{ord(k[0]):X}}}" for k in EMOJI_NAMES) + "]"
 
 
 def let(value: Column, body) -> Column:
@@ -23,11 +26,27 @@ def plain(text: Column) -> Column:
 
 
 def name_emoji(text: Column, names: dict[str, str] | None = None) -> Column:
-    """Put the names of emoji, between spaces, in their place."""
-    out = text
-    for sign, name in (EMOJI_NAMES if names is None else names).items():
-        out = F.replace(out, F.lit(sign), F.lit(f" {name} "))
-    return out
+    """Put the names of emoji, between spaces, in their place. Texts without one are only looked at once.
+
+    Signs of several characters are replaced first, then single ones; what is left of a variation selector goes.
+    """
+    table = _emoji_table() if names is None else names
+    out, single = text, {k: f" {v} " for k, v in table.items() if len(k) == 1}
+    for sign, name in table.items():
+        if len(sign) > 1:
+            out = F.replace(out, F.lit(sign), F.lit(f" {name} "))
+    if not single:
+        return out
+    lookup = F.from_json(F.lit(json.dumps(single)), "map<string,string>")
+    least = F.lit(min(single))
+    named = let(F.split(out, ""), lambda c: F.array_join(F.transform(c, lambda x: F.when(x < least, x).otherwise(F.coalesce(F.try_element_at(lookup, x), x))), ""))
+    signs = "[" + "".join(f"\\x{{{ord(k):X}}}" for k in sorted(single)) + "]" if len(single) < 100 else _EMOJI_CLASS
+    return F.when(text.rlike(signs), F.replace(named, F.lit("\ufe0f"), F.lit(""))).otherwise(out)
+
+
+@lru_cache(maxsize=1)
+def _emoji_table() -> dict[str, str]:
+    return emoji_names()
 
 
 def drop_urls(text: Column) -> Column:

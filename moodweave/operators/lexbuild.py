@@ -67,21 +67,26 @@ def derived(lexicon: DataFrame) -> DataFrame:
 
 
 def row_key() -> Column:
-    """word, pos, flags and synset as one string."""
+    """word, pos, flags and synset as one string, to be shown."""
     tags = F.concat_ws("|", *[F.concat(F.lit(f"{f}:"), F.col(f).cast("string")) for f in FLAGS])
     return F.concat_ws("|", F.lower(F.trim("word")), F.trim("pos"), tags, F.trim("synset"))
 
 
+def row_identity() -> Column:
+    """The same as a struct, in which neither nulls nor separators within values run together."""
+    return F.struct(F.lower(F.trim("word")), F.trim("pos"), *[F.col(f) for f in FLAGS], F.trim("synset"))
+
+
 def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of each key by ``order``; the rank limit cuts each task's groups before the shuffle."""
-    ranked = rows.withColumn("_key", key).withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(order)))
-    return ranked.where("_r = 1").drop("_key", "_r")
+    """The first row of each key by ``order``, ties by the other columns in turn; the rank limit cuts each task's groups before the shuffle."""
+    by = Window.partitionBy("_key").orderBy(order, *[F.col(c) for c in rows.columns if c != order])
+    return rows.withColumn("_key", key).withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_key", "_r")
 
 
 def build(raw: DataFrame, synsets=None, synonyms=None, affect=None) -> DataFrame:
     """The whole construction from long raw rows."""
     base = expanded(described(merged(one_hot(raw)), synsets), synonyms)
-    first = keep_first(base.withColumn("_o", F.when(F.col("provenance") == "emolex", 0).otherwise(1)), row_key(), "_o").drop("_o")
+    first = keep_first(base.withColumn("_o", F.when(F.col("provenance") == "emolex", 0).otherwise(1)), row_identity(), "_o").drop("_o")
     return derived(with_affect(first, affect)).select(*FINAL_FIELDS)
 
 

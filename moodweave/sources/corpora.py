@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +36,17 @@ def sniffed(raw: DataFrame) -> DataFrame | None:
     return labels.usable(out)
 
 
+def _labelled(spark: SparkSession, path: str) -> DataFrame | None:
+    """The labelled texts of one CSV file; None if it can't be read or its header doesn't fit."""
+    try:
+        return sniffed(spark.read.option("header", True).csv(path))
+    except PySparkException:
+        return None
+
+
 def read_csvs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The union of CSV files whose headers fit; ``FileNotFoundError`` if none does."""
-    found = [f for f in (sniffed(spark.read.option("header", True).csv(p)) for p in paths) if f is not None]
+    """The union of CSV files that can be read and whose headers fit; ``FileNotFoundError`` if none does."""
+    found = [f for f in (_labelled(spark, p) for p in paths) if f is not None]
     if not found:
         raise FileNotFoundError(f"no labelled CSV among {paths}")
     out = found[0]

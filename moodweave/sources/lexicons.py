@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +42,9 @@ def read_english(spark: SparkSession, candidates: list[str]) -> DataFrame:
         return fallback_lexicon(spark)
     try:
         rows = spark.read.schema(LONG).option("mode", "FAILFAST").csv(path, sep="\t")
-        rows.limit(1).collect()
-    except PySparkException:
+        # All of it is parsed here, as a bad line may stand anywhere; a lexicon is small.
+        rows.write.format("noop").mode("overwrite").save()
+    except (PySparkException, Py4JJavaError):
         return fallback_lexicon(spark)
     return associated(rows)
 

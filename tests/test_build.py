@@ -42,6 +42,9 @@ def test_lexicon_files(spark, tmp_path):
     found = lexicons.read_english(spark, [str(tmp_path / "none"), str(english)])
     assert [tuple(r) for r in found.collect()] == [("happy", "joy", 1.0)]
     assert lexicons.read_english(spark, [str(tmp_path / "none")]).count() == 35
+    bad = tmp_path / "bad.txt"
+    bad.write_text("Happy\tjoy\t1\n" * 50 + "sad\tfear\n")  # a bad line far down
+    assert lexicons.read_english(spark, [str(bad)]).count() == 35
     wide = tmp_path / "ro.csv"
     wide.write_text("Word,joy,fear\nfaţă,1,0\nrău,0,True\n")
     assert sorted(tuple(r)[:2] for r in lexicons.read_romanian(spark, [str(wide)]).collect()) == [("față", "joy"), ("rău", "fear")]
@@ -73,7 +76,7 @@ def test_corpora(spark, tmp_path):
     assert corpora.priority_corpus(red, single=False).count() == 2
     (tmp_path / "a.csv").write_text("Tweet,Emotion\nhi,furie\n,joy\n")
     (tmp_path / "b.csv").write_text("x,y\n1,2\n")
-    found = corpora.read_csvs(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    found = corpora.read_csvs(spark, [str(tmp_path / "none.csv"), str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
     assert [tuple(r) for r in found.collect()] == [("hi", "anger")]
     assert corpora.cached(spark, str(tmp_path / "c"), lambda: found).count() == 1
     assert corpora.cached(spark, str(tmp_path / "c"), lambda: 1 / 0).count() == 1

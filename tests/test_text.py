@@ -95,3 +95,13 @@ def test_against_python(spark):
     rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "i int, text string, lang string")
     for row in emotions.prepare(rows).collect():
         assert (row["tokens"], row["negated"]) == python_prepared(row["text"]), row["text"]
+
+
+def test_emoji_names(spark):
+    texts = ["so \U0001f600\U0001f602!", "\U0001f955 \U0001fa90x", "\u2764\ufe0f", "plain é 漢字", None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r[0] for r in rows.select("i", T.name_emoji(F.col("text")).alias("t")).orderBy("i").select("t").collect()]
+    assert got[0] == "so  grinning_face  face_with_tears_of_joy !" and got[1] == " carrot   ringed_planet x"
+    assert got[3:] == texts[3:] and "\ufe0f" not in got[2]
+    own = rows.select(T.name_emoji(F.col("text"), {"\U0001f955": "root", "é": "e"}).alias("t")).collect()
+    assert own[1]["t"].startswith(" root ") and own[3]["t"] == "plain  e  漢字"
