@@ -49,13 +49,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_one_before").cast("long") % len(weights) + 1).cast("int"))
     ranked = named.select("source", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(most)).alias("cap"))
     ranked = _with_sums_before(ranked.withColumn("ratio", F.col("cap") / F.col("w")), [F.col("ratio"), *first], "cap", "w")
-    whole = ranked.agg(F.sum("source_size").alias("all"), F.sum("w").alias("all_w"))
+    ranked = stage(ranked)
+    whole = ranked.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()  # two numbers
+    if whole["size"] is None:
+        return sizes.select("source", "source_size", F.lit(0.0).alias("target"))
     # If all sources before the row stand at their bounds, this is the level for the row and the rest.
-    level = (F.lit(total) * F.col("all") - F.col("cap_before")) / (F.col("all_w") - F.col("w_before"))
-    levels = ranked.crossJoin(F.broadcast(whole)).withColumn("level", level)  # one row
-    free = levels.agg(F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("_rank", "level"))).alias("free"))
-    at = levels.crossJoin(F.broadcast(free))  # one row
-    return at.select("source", "source_size", F.coalesce(F.least("cap", F.col("free.level") * F.col("w")), F.col("cap")).cast("double").alias("target"))
+    level = (F.lit(total * whole["size"]) - F.col("cap_before")) / (F.lit(whole["w"]) - F.col("w_before"))
+    free = ranked.agg(F.min(F.when(F.col("ratio") >= level, F.struct("_rank", level.alias("level")))).alias("free")).first()["free"]
+    bounded = F.col("cap") if free is None else F.least("cap", F.lit(free["level"]) * F.col("w"))
+    return ranked.select("source", "source_size", bounded.cast("double").alias("target"))
 
 
 def copies(rate: Column, draw: Column) -> Column:
