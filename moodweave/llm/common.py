@@ -106,5 +106,17 @@ def gapless(df: DataFrame, group: list[str], name: str) -> DataFrame:
     )
 
 
+def slices(texts: list, chars: int = 1 << 20) -> list[slice]:
+    """The texts of a batch in turn, of so many characters together at most (a longer one by itself)."""
+    out, start, held = [], 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and held + n > chars:
+            out.append(slice(start, i))
+            start, held = i, 0
+        held += n
+    return [*out, slice(start, len(texts))] if len(texts) else []
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

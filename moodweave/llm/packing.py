@@ -20,13 +20,14 @@ import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless
+from .common import gapless, slices
 from .tokencount import byte_chars
 
 CAPACITY = 2048
@@ -113,7 +114,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             rows = []
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for doc_id, data in zip(batch["doc_id"].array, coder.batch(texts), strict=True):
+            # Only a bounded part of a batch is held as words and ids at once.
+            found = chain.from_iterable(coder.batch(texts[part]) for part in slices(texts))
+            for doc_id, data in zip(batch["doc_id"].array, found, strict=True):
                 data += CLOSE.to_bytes(4, "little")
                 key = None if pd.isna(doc_id) else int(doc_id)
                 for k, (start, length) in enumerate(cut(len(data) // 4, capacity)):

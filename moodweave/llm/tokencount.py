@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import plain, slices
 
 #: Words that a worker remembers at most; the table starts anew beyond it.
 REMEMBERED = 500_000
@@ -179,7 +179,9 @@ def count_tokens(docs: DataFrame, path: str, name: str = "n_tokens", limit: int
 
     @F.pandas_udf("long")
     def tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series(counter(path).count([t or "" for t in texts]), dtype="int64")
+        whole, book = [t or "" for t in texts], counter(path)
+        # Only a bounded part of a batch is held as words at once.
+        return pd.Series([n for part in slices(whole) for n in book.count(whole[part])], dtype="int64")
 
     text = plain(F.col("text"))
     return (

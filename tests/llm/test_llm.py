@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from moodweave.llm import ann, linededup, mixing, packing, pii, quality_qda, quality_rules, sharding, simhash, tokencount, trie
-from moodweave.llm.common import stage
+from moodweave.llm.common import slices, stage
 from moodweave.llm.components import components
 from moodweave.llm.queries import oracle_sql, queries
 
@@ -558,6 +558,13 @@ def test_token_counts(spark, docs):
     assert Counter(tuple(r) for r in tokencount.digest(docs).collect()) == expected
 
 
+def test_slices_hold_every_text_once():
+    texts_ = ["ab", None, "", "x" * 50, "c" * 9, "d"]
+    parts = slices(texts_, 10)
+    assert [t for p in parts for t in texts_[p]] == texts_ and all(sum(len(t or "") for t in texts_[p]) <= 10 or p.stop - p.start == 1 for p in parts)
+    assert slices([], 10) == []
+
+
 def test_bounded_memory_of_words():
     book = tokencount.TextCounter(P.path("word_bpe_49k.json"), remembered=5)
     free = tokencount.TextCounter(P.path("word_bpe_49k.json"))
