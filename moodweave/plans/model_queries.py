@@ -147,13 +147,8 @@ def word_tfidf(spark, sf):
     return _six(tfidf.tfidf(_conversations(spark, sf), "word"))
 
 
-@query("char_tfidf", f"WITH {_weights(_char_terms(3, 5), 2000)} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
+@query("char_tfidf", f"WITH {_weights(_char_terms(3, 5), 25_000)} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
 def char_tfidf(spark, sf):
-    return _six(tfidf.tfidf(_conversations(spark, sf), "char", tfidf.Settings(max_chars=2000)))
-
-
-@query("char_tfidf_whole", f"WITH {_weights(_char_terms(3, 5), 25_000)} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
-def char_tfidf_whole(spark, sf):
     return _six(tfidf.tfidf(_conversations(spark, sf), "char"))
 
 
@@ -162,10 +157,10 @@ def tfidf_improved(spark, sf):
     return _six(tfidf.tfidf(_conversations(spark, sf), "word", tfidf.IMPROVED))
 
 
-@query("vocab_topk", f"WITH {_weights(_word_terms(2), 500)} SELECT term, CAST(df AS BIGINT) AS df, CAST(ctf AS BIGINT) AS ctf FROM vocab")
+@query("vocab_topk", f"WITH {_WORD_SQL} SELECT term, CAST(df AS BIGINT) AS df, CAST(ctf AS BIGINT) AS ctf FROM vocab")
 def vocab_topk(spark, sf):
     docs = _conversations(spark, sf)
-    return tfidf.vocabulary(tfidf.term_counts(docs, "word"), docs.count(), 500).select("term", "df", "ctf")
+    return tfidf.vocabulary(tfidf.term_counts(docs, "word"), docs.count(), tfidf.Settings().max_words).select("term", "df", "ctf")
 
 
 @query("term_statistics", f"WITH {_DOCS}, {_word_terms(1)} SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS ctf FROM grams GROUP BY term")
@@ -176,13 +171,14 @@ def term_statistics(spark, sf):
 
 @query(
     "feature_names",
-    f"""WITH {_weights(_word_terms(2), 100)} SELECT 'word' AS kind, term, 'word_' || term AS name FROM vocab
-    UNION ALL SELECT * FROM (WITH {_weights(_char_terms(3, 5), 100)} SELECT 'char', term, 'char_' || term FROM vocab)""",
+    f"""WITH {_WORD_SQL} SELECT 'word' AS kind, term, 'word_' || term AS name FROM vocab
+    UNION ALL SELECT * FROM (WITH {_weights(_char_terms(3, 5), 25_000)} SELECT 'char', term, 'char_' || term FROM vocab)""",
 )
 def feature_names(spark, sf):
     docs = _conversations(spark, sf)
     n = docs.count()
-    each = [tfidf.vocabulary(tfidf.term_counts(docs, kind), n, 100) for kind in ("word", "char")]
+    own = tfidf.Settings()
+    each = [tfidf.vocabulary(tfidf.term_counts(docs, kind), n, most) for kind, most in (("word", own.max_words), ("char", own.max_chars))]
     return tfidf.feature_names(*each)
 
 
@@ -198,23 +194,11 @@ def top_terms_per_doc(spark, sf):
 
 @query(
     "chi2_select",
-    f"""WITH {_weights(_word_terms(2), 300)}, y AS (SELECT doc_id, role AS label FROM docs), p AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM y GROUP BY label),
+    f"""WITH {_WORD_SQL}, y AS (SELECT doc_id, role AS label FROM docs), p AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM y GROUP BY label),
     o AS (SELECT term, label, sum(weight) AS o FROM weights JOIN y USING (doc_id) GROUP BY 1, 2), t AS (SELECT term, sum(o) AS total FROM o GROUP BY term)
     SELECT term, round(sum((coalesce(o, 0) - total * p) * (coalesce(o, 0) - total * p) / (total * p)), 5) AS chi2 FROM t CROSS JOIN p LEFT JOIN o USING (term, label) GROUP BY term""",
 )
 def chi2_select(spark, sf):
-    docs = _conversations(spark, sf)
-    weights = tfidf.tfidf(docs, "word", tfidf.Settings(max_words=300))
-    return tfidf.chi2(weights, docs.select("doc_id", F.col("role").alias("label"))).withColumn("chi2", F.round("chi2", 5))
-
-
-@query(
-    "chi2_select_whole",
-    f"""WITH {_weights(_word_terms(2), 50_000)}, y AS (SELECT doc_id, role AS label FROM docs), p AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM y GROUP BY label),
-    o AS (SELECT term, label, sum(weight) AS o FROM weights JOIN y USING (doc_id) GROUP BY 1, 2), t AS (SELECT term, sum(o) AS total FROM o GROUP BY term)
-    SELECT term, round(sum((coalesce(o, 0) - total * p) * (coalesce(o, 0) - total * p) / (total * p)), 5) AS chi2 FROM t CROSS JOIN p LEFT JOIN o USING (term, label) GROUP BY term""",
-)
-def chi2_select_whole(spark, sf):
     docs = _conversations(spark, sf)
     weights = tfidf.tfidf(docs, "word")
     return tfidf.chi2(weights, docs.select("doc_id", F.col("role").alias("label"))).withColumn("chi2", F.round("chi2", 5))
