@@ -1,12 +1,11 @@
 """Mixing sources to target weights.
 
 Sizes are aggregated per source; a source's rate is its target over its size; a document is taken
-``floor(rate)`` times, and once more if a hash of its id falls below the fraction of the rate.
+``floor(rate)`` times, and once more if a hash of its id and text falls below the fraction of the rate.
 
 Defined results: a null text has size 0; a null source is a source of its own, after all others; a
-source without words has target 0 and takes nothing; rows with equal doc_id share the
-draw, and rows without one draw each for itself, by text and number among equal rows; an empty table gives an empty mix;
-columns beyond doc_id, text and source are carried along.
+source without words has target 0 and takes nothing; every row draws for itself, whether its id is null, shared or its own: rows
+equal in id, source and text are told by a number among them; an empty table gives an empty mix; columns beyond doc_id, text and source are carried along.
 """
 
 from __future__ import annotations
@@ -69,17 +68,21 @@ def copies(rate: Column, draw: Column) -> Column:
 def drawn(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """``docs`` with a number in [0, 1) for each row, ``_draw``.
 
-    Rows without an id draw by their text and their number among rows of the same source and text; as these rows
-    are alike, it doesn't matter which is which.
+    A row draws by its id, the digest of its text and, among rows that are equal in id, source and text, its number;
+    as such rows are alike, it doesn't matter which is which. Only they are numbered.
     """
-    named = docs.where("doc_id IS NOT NULL").withColumn("_draw", unit_hash(seed, F.col("doc_id")))
-    nameless = docs.where("doc_id IS NULL")
-    if nameless.isEmpty():
-        return named
-    keyed = nameless.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).withColumn("_text", F.md5(plain(F.col("text"))))
-    numbered = gapless(keyed, ["_source", "_text"], "_number")
-    own = unit_hash(seed, F.lit("null"), F.col("_text"), F.col("_number"))
-    return named.unionByName(numbered.withColumn("_draw", own).drop("_source", "_text", "_number"))
+    plain_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    keyed = docs.select("*", plain_id.alias("_id"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_source"), F.md5(plain(F.col("text"))).alias("_text"))
+    key = ["_id", "_source", "_text"]
+    draw = lambda number: unit_hash(seed, F.col("_id"), F.col("_text"), number)
+    counted = keyed.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
+    repeated = stage(counted.drop("_n"))
+    if repeated.isEmpty():
+        return keyed.withColumn("_draw", draw(F.lit(0))).drop(*key)
+    repeated = checked(repeated)
+    single = keyed.join(repeated, key, "left_anti").withColumn("_draw", draw(F.lit(0)))
+    numbered = gapless(keyed.join(repeated, key, "left_semi"), key, "_number").withColumn("_draw", draw(F.col("_number")))
+    return single.drop(*key).unionByName(numbered.drop(*key, "_number"))
 
 
 def plan(docs: DataFrame, seed: str = SEED, **law) -> DataFrame:
@@ -110,8 +113,8 @@ def digest(docs: DataFrame, seed: str = SEED) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')) || ':'
-           || (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1)) AS name
+         coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':'
+           || (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1) AS name
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source

@@ -38,8 +38,9 @@ _OTHER = (
 )
 #: Kinds in the order in which they are tried at a place of the text.
 PATTERNS = {
-    # A run of local characters is looked at from its start only, and never given back.
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    # A run of local characters is looked at from its start only, and never given back; groups without a bound
+    # are possessive, as only those are matched in a loop and not by recursion.
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "secret": r"(?i:\b(?:token|password|passwd|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,}+",
     "access_key": r"\bAKIA[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
