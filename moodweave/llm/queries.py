@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, linededup, mixing, packing, pii, quality_qda, quality_rules, sharding, simhash, tokencount
+from . import ann, linededup, lloyd, mixing, packing, pii, quality_qda, quality_rules, sharding, simhash, tokencount, tokenlink, urlfilter
 from .common import read
 
 
@@ -21,8 +21,11 @@ def queries() -> dict:
         "op8_mixing": docs(mixing.digest),
         "op9_pii": docs(pii.digest),
         "op10_packing": docs(packing.digest),
+        "op11_centroid_clustering": lambda spark, sf_dir: lloyd.digest(read(spark, sf_dir, "embeddings")),
+        "op12_token_alignment": docs(tokenlink.digest),
+        "op13_url_filters": lambda spark, sf_dir: urlfilter.digest(read(spark, sf_dir, "pages")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.SQL, "op8_mixing": mixing.SQL}
+    return {"op6_quality_rules": quality_rules.SQL, "op8_mixing": mixing.SQL, "op11_centroid_clustering": lloyd.SQL, "op13_url_filters": urlfilter.SQL}

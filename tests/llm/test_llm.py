@@ -57,7 +57,8 @@ def key(x):
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - {"op2_nearest_neighbours"}))
 def test_empty_tables(spark, tmp_path, name):
-    for table, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int")):
+    others = (("labels", "doc_id long, quality int, toxic int"), ("embeddings", "vec_id long, embedding array<float>"), ("pages", "page_id long, url string"))
+    for table, schema in (("documents", SCHEMA), *others):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
     assert queries()[name](spark, str(tmp_path)).count() == 0
 
@@ -914,7 +915,8 @@ def test_matches_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     theirs = con.execute(oracle_sql()[name]).df()
     ours = queries()[name](spark, sf).toPandas()[list(theirs.columns)]
     assert Counter(map(repr, ours.itertuples(index=False, name=None))) == Counter(map(repr, theirs.itertuples(index=False, name=None)))
