@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodweave.llm import linededup, mixing, packing, quality_rules, simhash
-from moodweave.llm.common import read, stage
+from moodweave.llm.common import read, release, stage_step
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,8 +57,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for _, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir))
+    for i, (_, step) in enumerate(STAGES[:-1]):
+        made = stage_step(lambda step=step, docs=docs: step(spark, docs, sf_dir))
+        if i:  # the stage before it isn't read again
+            release(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

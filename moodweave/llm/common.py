@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql.window import Window
 #: Most rows of a side that may be broadcast, and most bytes of its files; a larger one is joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
 _NO_ID = -(2**63)
+#: The tables staged by the step that runs, if they are to go with it.
+_OPEN: ContextVar[list[DataFrame] | None] = ContextVar("open", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +48,20 @@ def stage(df: DataFrame) -> DataFrame:
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    if (tables := _OPEN.get()) is not None:
+        tables.append(out)
+    return out
+
+
+def stage_step(step: Callable[[], DataFrame]) -> DataFrame:
+    """Stage what ``step`` returns; all that it has staged on the way is deleted then."""
+    before = _OPEN.set(inner := [])
+    try:
+        made = step()
+    finally:
+        _OPEN.reset(before)
+    out = stage(made)
+    release(*inner)
     return out
 
 

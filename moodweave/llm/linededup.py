@@ -4,7 +4,9 @@ Lines are grouped by equal text, at any length. Two texts are near if their edit
 threshold of the shorter one: two edits from 24 characters on, one from 12, none below (``STEPS``).
 A line is split into threshold-plus-one segments, posted under (length, segment number,
 content); it probes, for its own and the next smaller lengths, the substrings that multi-match-aware position
-windows allow. Two near lines share such a key at least once. Candidates are verified by a
+windows allow. Two near lines share such a key at least once, and what stands before and after the shared segment
+differs by as many edits together. So where a key is crowded, its lines are split and joined once more by what is left of them
+beside the segment, as long as that helps (``DEPTH`` times); lines that still crowd a key are compared as pairs of parts. Candidates are verified by a
 banded bit-parallel edit distance. An occurrence of a line goes if it isn't the first of its text, or
 if a near line stands first at an earlier place; places are ordered by doc_id,
 a hash of the whole text and line number, so that a removal only reaches the text it was found in.
@@ -28,6 +30,8 @@ from .quality_rules import let
 STEPS = ((24, 2), (12, 1))
 TAU = STEPS[0][1]
 _WORD = r"[^\x20\x09-\x0D]"
+#: Lines that share a key without crowding it, and times that lines of crowded keys are split again.
+CROWD, DEPTH = 1000, 2
 
 
 def allowed(length: int) -> int:
@@ -109,20 +113,21 @@ def near(a: str, b: str) -> bool:
     return a == b if not tau else within(a, b, tau)
 
 
+def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
+    """First position (from 1) and size of segment ``i`` of a line of this length; the last are longer."""
+    base, short = F.floor(length / (tau + 1)).cast("int"), F.lit(tau + 1) - length % (tau + 1)
+    return F.lit(1) + base * i + F.greatest(F.lit(i) - short, F.lit(0)), base + (F.lit(i) >= short).cast("int")
+
+
 def keys(line: Column) -> Column:
     """Hashes of the line's own segments, threshold-plus-one of them, and then of the substrings that it looks up."""
     size = F.length(line)
 
-    def segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
-        """First position (from 1) and size of segment ``i`` of a line of this length; the last are longer."""
-        base, short = F.floor(length / (tau + 1)).cast("int"), F.lit(tau + 1) - length % (tau + 1)
-        return F.lit(1) + base * i + F.greatest(F.lit(i) - short, F.lit(0)), base + (F.lit(i) >= short).cast("int")
-
     def key(length: Column, i: int, at: Column, n: Column) -> Column:
         return F.xxhash64(length, F.lit(i), F.substring(line, at, n))
 
     def posts(tau: int) -> Column:
-        return F.array(*[key(size, i, *segment(size, i, tau)) for i in range(tau + 1)])
+        return F.array(*[key(size, i, *_segment(size, i, tau)) for i in range(tau + 1)])
 
     def probes(gap: int, tau: int) -> Column:
         """What meets the segments of a line that is ``gap`` characters shorter and allows ``tau`` edits."""
@@ -130,7 +135,7 @@ def keys(line: Column) -> Column:
         for i in range(tau + 1):
             # Errors left of the segment, and right of it, bound how far it can have moved.
             low, high = max(-i, gap - (tau - i)), min(i, gap + (tau - i))
-            at, n = segment(length, i, tau)
+            at, n = _segment(length, i, tau)
             out += [key(length, i, at + off, n) for off in range(low, high + 1) if gap or off]
         return F.array(*out)
 
@@ -211,17 +216,103 @@ def lines_of(docs: DataFrame, places: DataFrame) -> DataFrame:
     return out
 
 
+def _parts(text: Column, length: Column, gap: int, tau: int, own: bool, *prior: Column) -> Column:
+    """What a text posts (if ``own``) and looks up among texts of ``length``, which is ``gap`` less than its own: structs of
+    key, own, at, n (the substring), length, gap and tau."""
+    out = []
+    for i in range(tau + 1):
+        # Errors left of the segment, and right of it, bound how far it can have moved.
+        low, high = max(-i, gap - (tau - i)), min(i, gap + (tau - i))
+        at, n = _segment(length, i, tau)
+        for off in range(low, high + 1):
+            key = F.xxhash64(*prior, length, F.lit(i), F.substring(text, at + off, n))
+            out.append(F.struct(key.alias("key"), F.lit(own and not off).alias("own"), (at + off).alias("at"), n.alias("n"), length.alias("length"), F.lit(gap).alias("gap"), F.lit(tau).alias("tau")))
+    return F.array(*out)
+
+
+def _first_parts(line: Column) -> Column:
+    """The keys of a whole line (those of ``keys``) with their places."""
+    size = F.length(line)
+    made = []
+    for gap in range(TAU + 1):
+        some = F.array().cast("array<struct<key: bigint, own: boolean, at: int, n: int, length: int, gap: int, tau: int>>")
+        for least, tau in reversed(STEPS):
+            if gap <= tau:
+                some = F.when(size - gap >= least, _parts(line, size - gap, gap, tau, gap == 0)).otherwise(some)
+        made.append(some)
+    return F.concat(*made)
+
+
+def _rest_parts() -> Column:
+    """The keys of what is left of a line (columns text, length, gap, tau, own) that came by a crowded key."""
+    out = None
+    for tau in sorted({tau for _, tau in STEPS}):
+        for gap in range(tau + 1):
+            for own in (True, False) if not gap else (False,):
+                fits = (F.col("tau") == tau) & (F.col("gap") == gap) & (F.col("own") == own)
+                made = _parts(F.col("text"), F.col("length"), gap, tau, own, F.col("key"))
+                out = F.when(fits, made) if out is None else out.when(fits, made)
+    return out
+
+
+def _without(part: str) -> list[Column]:
+    """key, own, text, length, gap, tau: a text without the substring of one of its parts."""
+    p = F.col(part)
+    rest = F.concat(F.substring(F.col("text"), F.lit(1), p["at"] - 1), F.substring(F.col("text"), p["at"] + p["n"], F.length("text")))
+    return [p["key"].alias("key"), p["own"].alias("own"), rest.alias("text"), (p["length"] - p["n"]).alias("length"), p["gap"].alias("gap"), p["tau"].alias("tau")]
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """key and number of parts of the keys of ``rows`` (key, own, h1) at which more pairs meet than ``CROWD`` lines have; staged."""
+    sizes = rows.groupBy("key").agg(F.count_if("own").alias("posts"), F.count("*").alias("n"))
+    return stage(sizes.where(F.col("posts") * F.col("n") > CROWD * CROWD).select("key", F.ceil(F.col("n") / CROWD).cast("int").alias("parts")))
+
+
+def narrowed(known: DataFrame, near_keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``near_keys`` with crowded keys replaced by those of the rests of their lines, staged; and the rows (with parts) that no split helps."""
+    crowded = _crowded(near_keys)
+    if crowded.isEmpty():
+        return near_keys, None
+    fine = [near_keys.join(checked(crowded), "key", "left_anti")]
+    theirs = stage(near_keys.join(checked(crowded), "key", "left_semi").select("h1").distinct())
+    lines = known.join(checked(theirs), "h1", "left_semi").select("h1", F.col("line").alias("text"))
+    part = lines.select("h1", "text", F.explode(_first_parts(F.col("text"))).alias("p"))
+    rows = stage(part.select("h1", *_without("p")).join(checked(crowded), "key"))
+    for _ in range(DEPTH):
+        part = rows.select("h1", "text", F.explode(_rest_parts()).alias("p"))
+        keyed = part.select("h1", "p.key", "p.own")
+        met = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.max("own").alias("posted"))
+        met, again = stage(met.where("a <> b AND posted").select("key")), _crowded(keyed)
+        fine.append(keyed.join(checked(met), "key", "left_semi").join(checked(again), "key", "left_anti").distinct())
+        rows = stage(part.select("h1", *_without("p")).join(checked(again), "key"))
+        if rows.isEmpty():
+            break
+    out = fine[0].select("key", "own", "h1")
+    for more in fine[1:]:
+        out = out.unionByName(more.select("key", "own", "h1"))
+    return stage(out), None if rows.isEmpty() else rows.select("key", "own", "h1", "parts").distinct()
+
+
 def links(known: DataFrame, near_keys: DataFrame) -> DataFrame:
     """Pairs (x earlier, y later; each first, h1, h2) of distinct near lines. ``known``: ``lines_of``; ``near_keys``: ``crowd``."""
-    signed = near_keys.join(known.select("h1", "sig", "size"), "h1")
-    a, b = signed.where("own").alias("a"), signed.alias("b")
-    # Two posted lines meet once; a probing line meets every posted one. Spark splits hot keys of this join,
-    # and what lines of a hot key differ in shows in their signatures, so few pairs leave it.
+    fine, crowded = narrowed(known, near_keys)
+    signs = known.select("h1", "sig", "size")
+    # Two posted lines meet once; a probing line meets every posted one.
     apart = (F.col("a.h1") < F.col("b.h1")) | (~F.col("b.own") & (F.col("a.h1") != F.col("b.h1")))
     flips = lambda c: F.bit_count(F.col(f"a.sig.{c}").bitwiseXOR(F.col(f"b.sig.{c}")))
     alike = (flips("ones") <= 2 * TAU) & (flips("twos") <= 4 * TAU) & (F.abs(F.col("a.size") - F.col("b.size")) <= TAU)
+    signed = fine.join(signs, "h1")
+    a, b = signed.where("own").alias("a"), signed.alias("b")
     met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & apart & alike)
-    pairs = stage(met.select(F.least("a.h1", "b.h1").alias("ah"), F.greatest("a.h1", "b.h1").alias("bh")).distinct())
+    met = met.select(F.least("a.h1", "b.h1").alias("ah"), F.greatest("a.h1", "b.h1").alias("bh"))
+    if crowded is not None:
+        # Every part of the posting lines meets every part of all lines, each pair of parts as a key of its own.
+        dealt = crowded.join(signs, "h1").withColumn("mine", F.pmod("h1", "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        a, b = dealt.where("own").alias("a"), dealt.alias("b")
+        same = (F.col("a.key") == F.col("b.key")) & (F.col("a.mine") == F.col("b.other")) & (F.col("a.other") == F.col("b.mine"))
+        more = a.join(b.hint("merge"), same & apart & alike)
+        met = met.unionByName(more.select(F.least("a.h1", "b.h1").alias("ah"), F.greatest("a.h1", "b.h1").alias("bh")))
+    pairs = stage(met.distinct())
     side = lambda t: known.select(F.col("h1").alias(f"{t}h"), F.struct("first", "h1", "h2").alias(f"{t}at"), F.col("line").alias(t))
     both = pairs.join(side("a"), "ah").join(side("b"), "bh")
 

@@ -21,8 +21,8 @@ from .common import plain, release, stage
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Rows of the sample that orders the cascade (drawn by hash; twice as many at most), how often a rule is
-#: evaluated on each in one timed run, and how many runs the best is taken of.
-SAMPLE_ROWS, REPEATS, RUNS = 1000, 10, 2
+#: evaluated on each in one timed run at first and at most, and how many runs the best is taken of.
+SAMPLE_ROWS, REPEATS, MOST_REPEATS, RUNS = 1000, 10, 160, 2
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -148,25 +148,32 @@ def sampled(docs: DataFrame, rows: int) -> DataFrame:
 def measured(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
     """By rule: the share of a sample that it rejects, and its seconds a row there.
 
-    Each rule is timed by itself, against a run that reads the same rows and evaluates nothing; one number a run comes to the driver.
+    Each rule is timed by itself, against runs that read the same rows and evaluate nothing, and is evaluated more often until the
+    difference is twice the spread of those; one number a run comes to the driver.
     """
     sample = stage(facts(sampled(docs, sample_rows)).drop("row"))
-    many = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
-    n = max(1, sample.count() * REPEATS)
+    rows, empty = max(1, sample.count()), {}
 
-    def run(condition: Column) -> tuple[float, int]:
-        best, found = float("inf"), 0
+    def run(condition: Column, times: int) -> tuple[list[float], int]:
+        many, spans, found = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(times)))), [], 0
         for _ in range(RUNS):
             began = time.perf_counter()
             found = many.agg(F.count_if(condition & (F.length("text") >= 0))).first()[0]
-            best = min(best, time.perf_counter() - began)
-        return best, found
+            spans.append(time.perf_counter() - began)
+        return spans, found
 
-    nothing, _ = run(F.col("again") > REPEATS)
     out = {}
     for r in rules:
-        seconds, found = run(r.rejects)
-        out[r.name] = (found / n, max(seconds - nothing, 1e-3) / n)
+        times = REPEATS
+        while True:
+            spans, found = run(r.rejects, times)
+            if times not in empty:
+                empty[times] = run(F.col("again") > times, times)[0]
+            spent, noise = min(spans) - min(empty[times]), max(empty[times]) - min(empty[times])
+            if spent > 2 * noise or times >= MOST_REPEATS:
+                break
+            times *= 4
+        out[r.name] = (found / (rows * times), max(spent, noise, 1e-3) / (rows * times))
     release(sample)
     return out
 

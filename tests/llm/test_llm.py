@@ -194,7 +194,11 @@ def near_lines(a, b):
     return a != b and edit(a, b) <= (2 if short >= 24 else 1 if short >= 12 else 0)
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize(("crowd", "depth"), [(1000, 2), (1, 0), (1, 2)])
+def test_line_dedup(spark, monkeypatch, crowd, depth):
+    """Also where most keys are crowded, and their lines are split again or dealt in parts."""
+    monkeypatch.setattr(linededup, "CROWD", crowd)
+    monkeypatch.setattr(linededup, "DEPTH", depth)
     rng = random.Random(4)
     base = ["".join(rng.choice("abc de") for _ in range(rng.randint(2, 40))) for _ in range(16)] + ["", "  ", "漢字", "Subscribe now!"]
     rows = [(None if i == 7 else i * 3, None if i == 9 else "\n".join(mutated(rng, rng.choice(base), 4) for _ in range(rng.randint(0, 6)))) for i in range(80)]
@@ -219,6 +223,23 @@ def test_line_dedup(spark):
         assert out[key(i)]["n_removed"] == sum(drop(key(i), k, x) for k, x in enumerate((t or "").split("\n")))
 
 
+def test_lines_that_share_a_segment(spark):
+    """40,000 distinct lines that begin alike take hardly longer than 1,000; two planted near pairs are found."""
+    rng = random.Random(6)
+    start = "the same twenty char"
+
+    def seconds(n):
+        lines = [start + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(n)]
+        lines += [lines[5][:50] + "#" + lines[5][51:], lines[9][:30] + "#" + lines[9][30:45] + lines[9][46:]]
+        table = spark.createDataFrame([(i, "\n".join(lines[i : i + 100])) for i in range(0, len(lines), 100)], "doc_id long, text string").repartition(8)
+        began = time.time()
+        assert linededup.digest(table).where("n_links > 0").count() == 4
+        return time.time() - began
+
+    few, many = seconds(1000), seconds(40_000)
+    assert many < 2 * few + 10
+
+
 def test_equal_rows_keep_each_line_once(spark):
     one, other = "first line of a text\n\nsecond line, somewhat longer than it", "another text altogether\nsecond line, somewhat longer than it"
     rows = [(None, one)] * 3 + [(7, one)] * 2 + [(8, other)] * 2 + [(9, None)] * 2 + [(10, "")] * 2
