@@ -319,11 +319,22 @@ def embedding_hybrid(spark, sf):
 
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", F.col("lang").alias("label")).join(vectors, "doc_id")
-    model, names, note = service.train(docs, "hybrid", lexicon(spark), cues=CUES)
-    given = service.ready(models.embedding_vector(docs), "hybrid", lexicon(spark), note["scaling"], CUES)
+    model, names, _ = service.train(docs, "hybrid", lexicon(spark), cues=CUES)
+    given = service.ready(models.embedding_vector(docs), "hybrid", lexicon(spark), None, CUES)
     return models.predictions(model.transform(given), names, ["doc_id", "label"])
 
 
+@query("improved_training")
+def improved_training(spark, sf):
+    """Every turn's role as told by the best of LR, squared-hinge SVM and forest over improved TF-IDF."""
+    from ..operators import service, tfidf
+
+    turns = _conversations(spark, sf).withColumnRenamed("role", "label")
+    model, names, note = service.train_improved(turns)
+    given = service.ready(turns, "ml", None, settings=tfidf.IMPROVED)
+    return models.predictions(model.transform(given), names, ["doc_id", "label"]).withColumn("algorithm", F.lit(note["algorithm"]))
+
+
 @query(
     "embedding_pool",
     """SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(avg(embedding[i]::DOUBLE), 5) AS mean
@@ -519,7 +530,7 @@ def error_samples(spark, sf):
     errors = evaluate.first_errors(_predicted(spark, sf)).select("doc_id", "text", "label", "prediction")
     ready = errors.select("doc_id", T.tokens(F.lower(T.plain(F.col("text")))).alias("tokens"), F.array().cast("array<boolean>").alias("flags"))
     scores = emotions.emotion_scores(emotions.hits(ready, lexicon(spark), "doc_id"), "doc_id")
-    top = tfidf.top_terms(tfidf.tfidf(errors, "word", tfidf.Settings(max_words=5000), table(spark, sf, "documents")))
+    top = tfidf.top_terms(tfidf.tfidf(errors, "word", tfidf.Settings(), table(spark, sf, "documents")))
     return evaluate.error_samples(errors, top, scores)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.domains import PRIORITY_LABELS
 from ..operators import labels
-from .lexicons import exists
+from .store import complete, delete, publish
 
 
 def fine_corpus(raw: DataFrame, first_id_only: bool = True) -> DataFrame:
@@ -56,7 +59,30 @@ def read_csvs(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
-    """The Parquet table at ``path``, made and written first if it isn't there."""
-    if not exists(spark, path):
-        make().write.parquet(path)
+    """The Parquet table at ``path``, made and published first unless it is there as a whole."""
+    if not complete(spark, path):
+        publish(make(), path)
     return spark.read.parquet(path)
+
+
+def load(spark: SparkSession, path: str, sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, str]:
+    """A corpus from the cache at ``path``, else from the first source that can be read, which is then cached; and which it was.
+
+    A source fails if it can't be opened, doesn't fit, breaks off while it is read, or holds no labelled text; then the next one is tried.
+    ``FileNotFoundError`` with all reasons if none is left.
+    """
+    if complete(spark, path):
+        return spark.read.parquet(path), "cache"
+    reasons = []
+    for name, open_ in sources.items():
+        try:
+            # All of it is read here, so that a bad part later in the source counts as well.
+            publish(labels.usable(open_()), path)
+        except (PySparkException, Py4JJavaError, OSError, ValueError) as error:
+            reasons.append(f"{name}: {str(error).splitlines()[0] if str(error) else type(error).__name__}")
+            continue
+        if not (made := spark.read.parquet(path)).isEmpty():
+            return made, name
+        delete(spark, path)
+        reasons.append(f"{name}: no labelled text")
+    raise FileNotFoundError("; ".join(reasons) or "no source")

@@ -9,17 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.domains import FEATURE_ORDER, ROMANIAN_LABELS, fallback_lexicon, lookup
+from .store import exists
 
 LONG = "word string, emotion string, association string"
 SCORE_COLUMNS = ("score", "intensity", "flag", "value")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists in whatever store Spark reads it from."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def first_path(spark: SparkSession, candidates: list[str]) -> str | None:
     return next((p for p in candidates if exists(spark, p)), None)
 
