@@ -280,7 +280,7 @@ def train_lexicon_lr(spark, sf):
     train, _, test = _parts(df)
     fitted = scaling.fit(train, list(emotions.FEATURES))
     ready = lambda x: models.assembled(scaling.scaled(x, fitted, True, 10.0, 1e-10), list(emotions.FEATURES))
-    return _fit_predict(ready(models.weighted(train)), ready(test), models.logistic(n=train.count()), names)
+    return _fit_predict(ready(models.weighted(train)), ready(test), models.logistic(), names)
 
 
 @query("train_tfidf_lr")
@@ -293,7 +293,7 @@ def train_tfidf_lr(spark, sf):
     stages = models.tfidf_stages()
     fitted = Pipeline(stages=stages).fit(train)
     learnt = fitted.transform(models.weighted(train))
-    return _fit_predict(learnt, fitted.transform(test), models.logistic(n=train.count(), features="tfidf"), names)
+    return _fit_predict(learnt, fitted.transform(test), models.logistic(features="tfidf"), names)
 
 
 @query("model_selection")
@@ -303,9 +303,9 @@ def model_selection(spark, sf):
     fitted = scaling.fit(train, list(emotions.FEATURES))
     ready = lambda x: models.assembled(scaling.scaled(x, fitted, True, 10.0, 1e-10), list(emotions.FEATURES)).cache()
     # Read by every fit: 24 numbers a document.
-    learnt, held, n = ready(models.weighted(train)), ready(val), train.count()
+    learnt, held = ready(models.weighted(train)), ready(val)
     try:
-        best, _, scores = models.select_best(models.candidates(n, len(emotions.FEATURES)), learnt, held)
+        best, _, scores = models.select_best(models.candidates(len(emotions.FEATURES)), learnt, held)
     finally:
         learnt.unpersist()
         held.unpersist()
