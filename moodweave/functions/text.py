@@ -174,14 +174,18 @@ def ngrams(words: Column, low: int, high: int) -> Column:
 
 
 def char_ngrams(text: Column, low: int, high: int) -> Column:
-    """All character n-grams of the lower-case text, runs of white space taken as one space."""
+    """All character n-grams of the lower-case text, runs of white space taken as one space.
 
-    def of(t: Column, n: int) -> Column:
-        starts = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(t, i, n))
+    The text becomes an array of characters first: a substring is looked for from the text's start, so that time would grow with its square.
+    """
+
+    def of(c: Column, n: int) -> Column:
+        starts = F.when(F.size(c) >= n, F.sequence(F.lit(0), F.size(c) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))
 
     squeezed = F.regexp_replace(F.lower(plain(text)), r"(?U)\s\s+", " ")
-    return let(squeezed, lambda t: F.concat(*[of(t, n) for n in range(low, high + 1)]))
+    chars = F.when(squeezed == "", F.array().cast("array<string>")).otherwise(F.split(squeezed, ""))
+    return let(chars, lambda c: F.concat(*[of(c, n) for n in range(low, high + 1)]))
 
 
 def softmax(scores: Column) -> Column:

@@ -28,6 +28,16 @@ def prepare(docs: DataFrame, cues=None, text: str = "text", lang: str = "lang")
     return out.withColumn("negated", T.negated_positions(F.col("tokens"), chosen)).withColumn("flags", T.negated_flags(F.col("tokens"), chosen))
 
 
+def negated_documents(docs: DataFrame, cues, *keep: str, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``keep`` and the negated positions (``negated``) of the documents that have any.
+
+    The list is looked at inside of the row's only array, so that no filter repeats the cleaning of the text below a projection that does it again.
+    """
+    chosen = cues if isinstance(cues, tuple) else T.cue_array(F.col(lang), cues)
+    found = F.filter(F.array(T.negated_positions(T.prepared(F.col(text)), chosen)), lambda p: F.size(p) > 0)
+    return docs.select(*keep, F.explode(found).alias("negated"))
+
+
 def token_rows(prepared: DataFrame, *keep: str, outer: bool = False, words: list[str] | None = None, romanian: bool = False) -> DataFrame:
     """A row per token: ``keep``, pos, token, is_negated. With ``words``, only of these tokens.
 

@@ -95,7 +95,7 @@ def romanian_letters_sample(spark, sf):
     f"WITH {NEG} SELECT doc_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM neg WHERE is_neg GROUP BY doc_id",
 )
 def negation_positions(spark, sf):
-    ready = emotions.prepare(table(spark, sf, "documents"), CUES).where(F.size("negated") > 0)
+    ready = emotions.negated_documents(table(spark, sf, "documents"), CUES, "doc_id")
     return ready.select("doc_id", F.array_join(F.transform("negated", lambda i: i.cast("string")), ",").alias("positions"))
 
 

@@ -105,3 +105,23 @@ def test_emoji_names(spark):
     assert got[3:] == texts[3:] and "\ufe0f" not in got[2]
     own = rows.select(T.name_emoji(F.col("text"), {"\U0001f955": "root", "é": "e"}).alias("t")).collect()
     assert own[1]["t"].startswith(" root ") and own[3]["t"] == "plain  e  漢字"
+
+
+def test_negated_documents_clean_their_texts_once(spark, sf):
+    from moodweave import plans
+
+    plan = plans.QUERIES["negation_positions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("www") == 1
+
+
+def test_character_ngrams_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        table = spark.createDataFrame([("ab cé" * n,)], "t string")
+        began = time.time()
+        table.select(F.size(T.char_ngrams(F.col("t"), 3, 5)).alias("n")).collect()
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(80_000) < 20
