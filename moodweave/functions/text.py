@@ -5,15 +5,13 @@ from __future__ import annotations
 import json
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .domains import CUES, EMOJI_BLOCKS, EMOJI_NAMES, NEGATION_WINDOW, POS_SUFFIXES, emoji_names
+from .domains import CUES, NEGATION_WINDOW, POS_SUFFIXES, SELECTOR, emoji_names
 
 #: A word character is a letter, a number or an underscore of any script.
 WORD = r"[\p{L}\p{N}_]"
-#: Characters that may be emoji.
-_EMOJI_CLASS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in EMOJI_BLOCKS) + "".join(f"\\x{{{ord(k[0]):X}}}" for k in EMOJI_NAMES) + "]"
 
 
 def let(value: Column, body) -> Column:
@@ -26,27 +24,80 @@ def plain(text: Column) -> Column:
 
 
 def name_emoji(text: Column, names: dict[str, str] | None = None) -> Column:
-    """Put the names of emoji, between spaces, in their place. Texts without one are only looked at once.
+    """Put the names of emoji, between spaces, in their place; of several that begin at one place the longest counts.
 
-    Signs of several characters are replaced first, then single ones; what is left of a variation selector goes.
+    Variation selectors may stand after any character of a sign; those left over go. Texts without an emoji are only looked at once.
     """
-    table = _emoji_table() if names is None else names
-    out, single = text, {k: f" {v} " for k, v in table.items() if len(k) == 1}
-    for sign, name in table.items():
-        if len(sign) > 1:
-            out = F.replace(out, F.lit(sign), F.lit(f" {name} "))
-    if not single:
-        return out
-    lookup = F.from_json(F.lit(json.dumps(single)), "map<string,string>")
-    least = F.lit(min(single))
-    named = let(F.split(out, ""), lambda c: F.array_join(F.transform(c, lambda x: F.when(x < least, x).otherwise(F.coalesce(F.try_element_at(lookup, x), x))), ""))
-    signs = "[" + "".join(f"\\x{{{ord(k):X}}}" for k in sorted(single)) + "]" if len(single) < 100 else _EMOJI_CLASS
-    return F.when(text.rlike(signs), F.replace(named, F.lit("\ufe0f"), F.lit(""))).otherwise(out)
+    table, pattern, needed = _emoji_table() if names is None else _looked_up(names)
+    if not table:
+        return text
+    # By first character, so that a sign is compared with the few that begin like it.
+    lookup = F.from_json(F.lit(table), "map<string,map<string,string>>")
+    bare = lambda c: F.replace(c, F.lit(SELECTOR), F.lit(""))
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), bare)
+    name = lambda sign: F.try_element_at(F.try_element_at(lookup, F.substring(sign, 1, 1)), sign)
+    put = F.zip_with(F.split(text, pattern, -1), found, lambda rest, sign: F.concat(rest, F.coalesce(F.concat(F.lit(" "), name(sign), F.lit(" ")), F.lit(""))))
+    return F.when(text.rlike(needed), bare(F.array_join(put, ""))).otherwise(text)
 
 
 @lru_cache(maxsize=1)
-def _emoji_table() -> dict[str, str]:
-    return emoji_names()
+def _emoji_table() -> tuple[str, str, str]:
+    return _looked_up(emoji_names(region_names()))
+
+
+def region_names() -> dict[str, str]:
+    """The English names of countries and regions by ISO code, as the JVM's locale data gives them."""
+    locale = SparkSession.active().sparkContext._jvm.java.util.Locale
+    return {code: locale("", code).getDisplayCountry(locale.ENGLISH) for code in locale.getISOCountries()}
+
+
+def _looked_up(names: dict[str, str]) -> tuple[str, str, str]:
+    """Names as JSON, by first character and sign, the pattern of all signs, and one of characters of which each text with a sign holds one.
+
+    Signs are without variation selectors. Of those that begin with an ASCII character, as keycaps do, the last character is looked for.
+    """
+    table: dict[str, dict[str, str]] = {}
+    for sign, name in names.items():
+        if sign := sign.replace(SELECTOR, ""):
+            table.setdefault(sign[0], {})[sign] = name
+    signs = [s for x in table.values() for s in x]
+    return json.dumps(table) if table else "", trie_pattern(signs), char_class({s[-1 if s[0].isascii() else 0] for s in signs}, 256)
+
+
+def char_class(chars, gap: int = 1) -> str:
+    """A class of ``chars`` as ranges; those above ASCII that are less than ``gap`` apart share one."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if ranges and (c == ranges[-1][1] + 1 or (ranges[-1][0] > 127 and c - ranges[-1][1] <= gap)):
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in ranges) + "]"
+
+
+def trie_pattern(signs: list[str]) -> str:
+    """A regular expression of the longest of ``signs`` at a place: their trie, in which characters with equal subtrees share one class.
+
+    Characters that differ lead to different branches, so a match never goes back to try another one.
+    """
+    trie: dict = {}
+    for sign in signs:
+        node = trie
+        for c in sign:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def of(node: dict) -> str:
+        alike: dict[str, list[str]] = {}
+        for c in sorted(k for k in node if k):
+            alike.setdefault(of(node[c]), []).append(c)
+        branches = [f"{char_class(cs)}{SELECTOR}?{rest}" for rest, cs in alike.items()]
+        if not branches:
+            return ""
+        return "(?:" + "|".join(branches) + ")" + ("?" if "" in node else "")
+
+    # Most characters begin no sign, and are told by a few ranges.
+    return f"(?={char_class(set(trie), 256)}){of(trie)}"
 
 
 def drop_urls(text: Column) -> Column:

@@ -107,6 +107,49 @@ def test_emoji_names(spark):
     assert own[1]["t"].startswith(" root ") and own[3]["t"] == "plain  e  漢字"
 
 
+EMOJI_SEQUENCES = {
+    "skin tone": ("\U0001f44d\U0001f3fd", "thumbs_up_medium_skin_tone"),
+    "flag": ("\U0001f1f7\U0001f1f4", "romania"),
+    "flag of a part": ("\U0001f3f4\U000e0067\U000e0062\U000e0073\U000e0063\U000e0074\U000e007f", "scotland"),
+    "keycap": ("1\ufe0f\u20e3", "keycap_1"),
+    "keycap without selector": ("#\u20e3", "keycap_#"),
+    "role": ("\U0001f469\U0001f3fd\u200d\U0001f680", "woman_astronaut_medium_skin_tone"),
+    "hair": ("\U0001f468\U0001f3ff\u200d\U0001f9b0", "man_dark_skin_tone_red_hair"),
+    "sex": ("\U0001f937\u200d\u2640\ufe0f", "woman_shrugging"),
+    "family": ("\U0001f468\u200d\U0001f469\u200d\U0001f467\u200d\U0001f466", "family_man_woman_girl_boy"),
+    "couple": ("\U0001f469\u200d\u2764\ufe0f\u200d\U0001f468", "couple_with_heart_woman_man"),
+    "selector inside": ("\u2764\ufe0f\u200d\U0001f525", "heart_on_fire"),
+    "selector": ("\u2764\ufe0f", "red_heart"),
+}
+
+
+def test_emoji_sequences(spark):
+    for kind, (sign, name) in EMOJI_SEQUENCES.items():
+        texts = [sign, f"a{sign}b {sign}{sign}", f"1 # {sign}"]
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+        got = [r[0] for r in rows.select("i", T.name_emoji(F.col("text")).alias("t")).orderBy("i").select("t").collect()]
+        assert got == [f" {name} ", f"a {name} b  {name}  {name} ", f"1 #  {name} "], kind
+
+
+def test_emoji_longest_match_against_a_plain_search(spark):
+    import random
+
+    table = {"ab": "1", "abc": "2", "abcde": "3", "b": "4", "bcd": "5", "xa": "6", "cd": "7", "e": "8"}
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abcdexy") for _ in range(draw.randint(0, 30))) for _ in range(300)] + [None, "\ufe0f", "a\ufe0fb\ufe0fc"]
+
+    def plainly(text):
+        out, i = "", 0
+        while i < len(text):
+            sign = max((s for s in table if text.startswith(s, i)), key=len, default=None)
+            out, i = (out + f" {table[sign]} ", i + len(sign)) if sign else (out + text[i], i + 1)
+        return out
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r[0] for r in rows.select("i", T.name_emoji(F.col("text"), table).alias("t")).orderBy("i").select("t").collect()]
+    assert got == [*map(plainly, texts[:-3]), None, "\ufe0f", " 2 "]
+
+
 def test_negated_documents_clean_their_texts_once(spark, sf):
     from moodweave import plans
 
