@@ -344,6 +344,21 @@ def embedding_pool(spark, sf):
     return models.mean_pooled(table(spark, sf, "embeddings"), "label").withColumn("mean", F.round("mean", 5))
 
 
+@query(
+    "padded_pool",
+    """WITH vectors AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), ' '), lambda w: [length(w), length(w) % 7, ascii(w)]) AS v FROM documents),
+    numbered AS (SELECT doc_id, v, (row_number() OVER (ORDER BY doc_id) - 1) // 8 + 1 AS batch FROM vectors),
+    most AS (SELECT batch, max(len(v)) AS padded FROM numbered GROUP BY batch)
+    SELECT doc_id, batch, padded, CAST(i AS INTEGER) AS pos, round(list_sum(list_transform(v, lambda x: x[i + 1]::DOUBLE)) / padded, 6) AS mean
+    FROM numbered JOIN most USING (batch), (SELECT unnest(range(0, 3)) AS i)""",
+)
+def padded_pool(spark, sf):
+    """Means over each document's word vectors (length, length modulo 7, first code point), of eight documents to a padded batch."""
+    vector = lambda w: F.array(F.length(w), F.length(w) % 7, F.ascii(w))
+    docs = table(spark, sf, "documents").select("doc_id", F.transform(F.split(T.plain(F.col("text")), " "), vector).alias("tokens"))
+    return models.padded_pooled(docs, "doc_id", size=8).withColumn("mean", F.round("mean", 6))
+
+
 # ---- inference: predictions made from hashes, in either engine ----
 _FOUR = ("joy", "sadness", "neutral", "disgust")
 
