@@ -90,6 +90,28 @@ def build(raw: DataFrame, synsets=None, synonyms=None, affect=None) -> DataFrame
     return derived(with_affect(first, affect)).select(*FINAL_FIELDS)
 
 
+def construction(raw: str, synsets: str | None = None, synonyms: str | None = None, affect: str | None = None) -> list:
+    """The construction as restartable steps over paths: a raw lexicon, and Parquet tables of synsets, synonyms and affect, if there are any.
+
+    ``sources.steps.run`` makes them; the step ``derived`` holds what ``build`` gives for the same tables.
+    """
+    from pyspark.sql import SparkSession
+
+    from ..sources.lexicons import read_raw
+    from ..sources.steps import Step
+
+    at = lambda path: None if path is None else SparkSession.active().read.parquet(path)
+    given = lambda *paths: tuple(p for p in paths if p is not None)
+    order = F.when(F.col("provenance") == "emolex", 0).otherwise(1)
+    return [
+        Step("normalized", lambda: merged(one_hot(read_raw(SparkSession.active(), raw))), sources=(raw,)),
+        Step("mapped", lambda normalized: described(normalized, at(synsets)), ("normalized",), given(synsets)),
+        Step("expanded", lambda mapped: keep_first(expanded(mapped, at(synonyms)).withColumn("_o", order), row_identity(), "_o").drop("_o"), ("mapped",), given(synonyms)),
+        Step("affected", lambda expanded: with_affect(expanded, at(affect)), ("expanded",), given(affect)),
+        Step("derived", lambda affected: derived(affected).select(*FINAL_FIELDS), ("affected",)),
+    ]
+
+
 def duplicate_stats(rows: DataFrame) -> DataFrame:
     """total_rows, unique_rows and duplicates over whole rows."""
     groups = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))

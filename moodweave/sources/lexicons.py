@@ -106,3 +106,47 @@ def is_romanian(text: str) -> bool:
 def romanian_sample(column) -> object:
     """The same predicate as a Column."""
     return F.substring(T.plain(column), 1, 1000).rlike("[ăâîșțĂÂÎȘȚ]")
+
+
+def acquire(spark: SparkSession, candidates: list[str], path: str, sources: dict | None = None) -> tuple[str, list[str]]:
+    """Put a raw Romanian lexicon at ``path``: how it came there, and why candidates were passed over.
+
+    ``present``: it stood there. ``copied``: the first candidate that can be read as UTF-8 and is Romanian by its first 1000 characters. ``source``: the rows
+    (word, emotion, association) of the first of ``sources`` (callables by name; rows with a language) that has Romanian ones. Else ``placeholder``: a
+    header alone, with which construction goes on over no words. The file is written beside and renamed, in one part, as its first line is its header.
+    """
+    from .checks import AffectError, check_utf8
+    from .store import publish
+
+    if exists(spark, path):
+        return "present", []
+    passed = []
+    for found in candidates:
+        if not exists(spark, found):
+            continue
+        try:
+            check_utf8(spark, found)
+            # A thousand characters stand within the first thousand lines' first thousand characters.
+            head = spark.read.text(found).select(F.substring("value", 1, 1000)).limit(1000).collect()
+            if not is_romanian("\n".join(r[0] for r in head)):
+                passed.append(f"{found}: not Romanian")
+                continue
+            publish(spark.read.text(found).coalesce(1), path, "text")
+            return "copied", passed
+        except (PySparkException, Py4JJavaError, AffectError) as error:
+            passed.append(f"{found}: {(str(error) or type(error).__name__).splitlines()[0]}")
+    header = spark.createDataFrame([("word\temotion\tassociation",)], "value string")
+    language = F.lower(F.coalesce("language", F.lit("")))
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit(d)) for c, d in (("word", ""), ("emotion", ""), ("association", "0"))])
+    for name, open_ in (sources or {}).items():
+        try:
+            rows = open_().where(language.contains("romanian") | (language == "ro")).select(line.alias("value"))
+            if rows.isEmpty():
+                passed.append(f"{name}: no Romanian rows")
+                continue
+            publish(header.unionByName(rows).coalesce(1), path, "text")
+            return "source", passed
+        except (PySparkException, Py4JJavaError, OSError, ValueError) as error:
+            passed.append(f"{name}: {(str(error) or type(error).__name__).splitlines()[0]}")
+    publish(header.coalesce(1), path, "text")
+    return "placeholder", passed
