@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.domains import DYADS, FALLBACK_WORDS, FEATURE_ORDER, FLAGS, LEXICON_ORDER, fallback_lexicon, frame
 from ..operators import emotions, lexbuild
 from ..sources import lexicons
-from .base import COUNTS, CUES, HIT, LEXICON, SCORES, count_sql, lexicon, query, score_sql, table, values
+from .base import COUNTS, CUES, HIT, LEXICON, SCORES, TOK, count_sql, lexicon, query, score_sql, table, values
 
 # Synthetic lexicon rows: event types and part words as words, hashed to emotions.
 _EMOTIONS = "[" + ", ".join(f"'{f}'" for f in FLAGS) + "]"
@@ -35,9 +36,19 @@ def lexicon_scan_filter(spark, sf):
     return lexicons.associated(raw(spark, sf).withColumn("association", F.col("association").cast("string")))
 
 
-@query("fallback_lexicon", "SELECT word, emotion, score::DOUBLE AS score FROM (" + values([(w, e, 1.0) for e, ws in FALLBACK_WORDS.items() for w in ws]) + ") t(word, emotion, score)")
+@query(
+    "fallback_lexicon",
+    f"""WITH {TOK}, held AS (SELECT DISTINCT doc_id, unnest(toks) AS word FROM tok),
+    t(word, emotion, score) AS ({values([(w, e, 1.0) for e, ws in FALLBACK_WORDS.items() for w in ws])})
+    SELECT word, emotion, score::DOUBLE AS score, count(doc_id) AS n_docs FROM t LEFT JOIN held USING (word) GROUP BY 1, 2, 3""",
+)
 def built_in(spark, sf):
-    return fallback_lexicon(spark)
+    """The built-in words, and how many documents hold each."""
+    words = fallback_lexicon(spark)
+    held = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(T.prepared(F.col("text")))).alias("word"))
+    # Only the few words of the lexicon are counted, and before anything is shuffled.
+    counts = held.join(F.broadcast(words.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("n_docs"))
+    return words.join(counts, "word", "left").fillna(0, ["n_docs"]).select("word", "emotion", "score", "n_docs")
 
 
 @query(
@@ -243,10 +254,17 @@ def duplicate_stats(spark, sf):
     return lexbuild.duplicate_stats(table(spark, sf, "events").select("event_type", "user_id"))
 
 
-@query("schema_diff", "SELECT 'love,sumo' AS missing, 'extra_col' AS extra, false AS valid")
+@query(
+    "schema_diff",
+    """WITH e(c) AS (VALUES ('word'), ('joy'), ('text'), ('lang')), a(c) AS (SELECT column_name FROM (DESCRIBE documents))
+    SELECT (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT c FROM e EXCEPT SELECT c FROM a)) AS missing,
+      (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT c FROM a EXCEPT SELECT c FROM e)) AS extra, false AS valid, (SELECT count(*) FROM documents) AS n_rows""",
+)
 def schema_diff(spark, sf):
-    out = lexbuild.schema_diff(spark, ["word", "joy", "sumo", "love"], ["joy", "word", "extra_col"])
-    return out.select(F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"), "valid")
+    """What a lexicon's fields and those of the documents don't share, and the number of rows that this concerns."""
+    docs = table(spark, sf, "documents")
+    out = lexbuild.schema_diff(spark, ["word", "joy", "text", "lang"], docs.columns).crossJoin(docs.agg(F.count("*").alias("n_rows")))  # one row each
+    return out.select(F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"), "valid", "n_rows")
 
 
 @query(

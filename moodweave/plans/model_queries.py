@@ -344,6 +344,20 @@ def embedding_pool(spark, sf):
     return models.mean_pooled(table(spark, sf, "embeddings"), "label").withColumn("mean", F.round("mean", 5))
 
 
+@query("saved_evaluation")
+def saved_evaluation(spark, sf):
+    """Samples of the errors of a saved lexicon model that tells languages apart, evaluated as it was saved."""
+    from ..operators import service
+    from ..sources import sinks, store
+
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", F.col("lang").alias("label"))
+    root = store.session_folder(spark)
+    service.train(docs, "lexicon", lexicon(spark), f"{root}/model", cues=CUES)
+    registry = sinks.Registry(spark, {("en", "lexicon"): f"{root}/model"})
+    found, samples = service.evaluate_bundle(registry, docs, "en", "lexicon", lexicon(spark), f"{root}/evaluated", CUES)
+    return samples.select("doc_id", "label", "prediction", "categories", *emotions.FEATURE_ORDER).withColumn("accuracy", F.lit(found["accuracy"]))
+
+
 @query(
     "padded_pool",
     """WITH vectors AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), ' '), lambda w: [length(w), length(w) % 7, ascii(w)]) AS v FROM documents),

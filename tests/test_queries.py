@@ -29,7 +29,7 @@ def test_matches_sql(spark, sf, duck, name):
     assert ordered(ours) == ordered(duck.execute(plans.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["train_lexicon_lr", "embedding_hybrid", "error_samples"])
+@pytest.mark.parametrize("name", ["train_lexicon_lr", "embedding_hybrid", "error_samples", "saved_evaluation"])
 def test_rows_only(spark, sf, name):
     assert plans.QUERIES[name](spark, sf).count() > 0
 
