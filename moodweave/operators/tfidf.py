@@ -1,8 +1,8 @@
 """TF-IDF over word and character n-grams, in long form: a row per document and term.
 
-Counts are combined per document before the shuffle; document frequencies are grouped by term; the
-vocabulary is cut by corpus frequency. ``fit`` and ``transform`` are apart, so a vocabulary fitted
-on training rows serves any others.
+Texts are put together by document before they become terms, which are many times their size: a document's terms are then counted
+and scaled where they lie. Document frequencies are grouped by term; the vocabulary is cut by corpus frequency. ``fit`` and
+``transform`` are apart, so a vocabulary fitted on training rows serves any others.
 """
 
 from __future__ import annotations
@@ -34,7 +34,10 @@ def term_counts(docs: DataFrame, kind: str, settings: Settings = Settings(), key
     """key, term, tf of the raw, lower-case text; ``kind``: word or char."""
     raw = T.plain(F.col(text))
     grams = T.ngrams(T.tokens(F.lower(raw)), *settings.words) if kind == "word" else T.char_ngrams(raw, *settings.chars)
-    return docs.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    # A number that is asked for stays: the small texts would else end up in few tasks.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lying = docs.select(key, text).repartition(parts, key)
+    return lying.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_docs: int, limit: int, settings: Settings = Settings()) -> DataFrame:
