@@ -1,11 +1,15 @@
 """What larger tables need: texts are looked at once, and terms stay where their documents lie."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from moodweave import plans
-from moodweave.operators import separators
+from moodweave.functions import text as T
+from moodweave.operators import separators, tfidf
 
 
 class Stop(Exception):
@@ -39,3 +43,16 @@ def test_blocks_hold_what_the_rows_hold():
                 separators.ENTRIES = separators_entries
             got = [separators._scores(w, *e, f(4, *e)) for _, *e in parts for f in (separators._filled, lambda *_: None)]
             assert np.allclose(np.vstack(got[::2]), x @ w[:-1] + w[-1]) and np.allclose(np.vstack(got[1::2]), x @ w[:-1] + w[-1])
+
+
+@pytest.mark.parametrize("kind", ["word", "char"])
+def test_only_texts_are_shuffled_by_document(spark, kind):
+    docs = spark.createDataFrame([(1, "one two one"), (1, "two"), (2, "an \U0001f600 é"), (3, ""), (None, "two two")], "doc_id long, text string")
+    counts = tfidf.term_counts(docs, kind)
+    vocabulary = spark.createDataFrame([("two", 1.5), ("one", 2.0)], "term string, idf double")
+    plan = tfidf.weights(counts, vocabulary)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1
+    # Rows of one id are one document; character sequences are those of the array form.
+    terms = T.ngrams(T.tokens(F.lower(T.plain(F.col("text")))), 1, 2) if kind == "word" else T.char_ngrams(F.col("text"), 3, 5)
+    want = Counter((r["doc_id"], t) for r in docs.select("doc_id", terms.alias("t")).collect() for t in r["t"])
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in counts.collect()} == want
