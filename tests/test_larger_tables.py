@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from moodweave import plans
 from moodweave.functions import text as T
-from moodweave.operators import separators, tfidf
+from moodweave.operators import models, separators, tfidf
 
 
 class Stop(Exception):
@@ -56,3 +56,19 @@ def test_only_texts_are_shuffled_by_document(spark, kind):
     terms = T.ngrams(T.tokens(F.lower(T.plain(F.col("text")))), 1, 2) if kind == "word" else T.char_ngrams(F.col("text"), 3, 5)
     want = Counter((r["doc_id"], t) for r in docs.select("doc_id", terms.alias("t")).collect() for t in r["t"])
     assert {(r["doc_id"], r["term"]): r["tf"] for r in counts.collect()} == want
+
+
+def test_terms_become_vectors_before_the_fit(spark, sf, monkeypatch):
+    seen = []
+
+    def fit(train, test, estimator, names):
+        seen.append((train.inputFiles(), train.columns))
+        raise Stop
+
+    stages = models.tfidf_stages
+    monkeypatch.setattr(models, "tfidf_stages", lambda *a, **k: stages(10, 10))
+    monkeypatch.setattr("moodweave.plans.model_queries._fit_predict", fit)
+    with pytest.raises(Stop):
+        plans.QUERIES["train_tfidf_lr"](spark, sf)
+    files, columns = seen[0]
+    assert files and not any("conversations" in f for f in files) and "tfidf" in columns and not {"text", "word_terms", "char_terms"} & set(columns)
