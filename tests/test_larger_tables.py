@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from moodweave import plans
 from moodweave.functions import text as T
-from moodweave.operators import models, separators, tfidf
+from moodweave.functions.domains import fallback_lexicon
+from moodweave.operators import emotions, models, separators, service, tfidf
 
 
 class Stop(Exception):
@@ -72,3 +73,40 @@ def test_terms_become_vectors_before_the_fit(spark, sf, monkeypatch):
         plans.QUERIES["train_tfidf_lr"](spark, sf)
     files, columns = seen[0]
     assert files and not any("conversations" in f for f in files) and "tfidf" in columns and not {"text", "word_terms", "char_terms"} & set(columns)
+
+
+def test_a_saved_model_is_evaluated_over_the_features_it_was_trained_on(spark, sf, monkeypatch):
+    made, read, features, serve = [], [], emotions.lexicon_features, service.serve
+
+    def served(registry, docs, *rest, **more):
+        out = serve(registry, docs, *rest, **more)
+        read.append(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(emotions, "lexicon_features", lambda *a, **k: made.append(1) or features(*a, **k))
+    monkeypatch.setattr(service, "serve", served)
+    assert plans.QUERIES["saved_evaluation"](spark, sf).count() > 0
+    assert len(made) == 1
+    assert len(read) == 1 and read[0] and not any("documents" in f for f in read[0])
+
+
+CUES = ("not", "by")
+ODD = [
+    (1, "not sad by not happy x not", "en"), (2, None, "en"), (3, "", "ro"), (4, "not", "en"), (5, "by " * 9 + "happy " * 9, None), (6, "happy HAPPY OK", "ro"),
+    (6, "NOT angry!!! ok?? #sad@me www.happy", "en"), (7, "a\U0001f600happy #\u20e3 ht\ufe0ftp www. @ #", "en"), (None, "not happy", "en"), (8, "nu trist sad fără happy \u0130\u0130 AB", "ro"),
+]
+
+
+@pytest.mark.parametrize("cues", [CUES, None, {"en": ("not",), "ro": ("nu", "by")}, ()])
+def test_features_from_the_marked_tokens_are_those_of_all_tokens(spark, cues, monkeypatch):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string")
+    rows = lambda: sorted(map(repr, emotions.lexicon_features(docs, fallback_lexicon(spark), cues).collect()))
+    few = rows()
+    monkeypatch.setattr(emotions, "LOOKED_UP", 0)  # the way of lexicons that are too large to look words up
+    assert few == rows()
+
+
+def test_tokens_are_the_runs_of_word_characters(spark):
+    docs = spark.createDataFrame([(t,) for t in ("", None, "  ", "a", " a,b_1  \u00e9\U0001f600\u0130 ", "\U00010400x!y", "...")], "text string")
+    for row in docs.select(T.tokens(F.col("text")).alias("t"), F.regexp_extract_all("text", F.lit(rf"{T.WORD}+"), F.lit(0)).alias("want")).collect():
+        assert row["t"] == row["want"]
