@@ -256,6 +256,11 @@ def ngrams(words: Column, low: int, high: int) -> Column:
     return let(words, lambda w: F.concat(*[of(w, n) for n in range(low, high + 1)]))
 
 
+def squeezed(text: Column) -> Column:
+    """The lower-case text with runs of white space taken as one space."""
+    return F.regexp_replace(F.lower(plain(text)), r"(?U)\s\s+", " ")
+
+
 def char_ngrams(text: Column, low: int, high: int) -> Column:
     """All character n-grams of the lower-case text, runs of white space taken as one space.
 
@@ -266,8 +271,7 @@ def char_ngrams(text: Column, low: int, high: int) -> Column:
         starts = F.when(F.size(c) >= n, F.sequence(F.lit(0), F.size(c) - n)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))
 
-    squeezed = F.regexp_replace(F.lower(plain(text)), r"(?U)\s\s+", " ")
-    chars = F.when(squeezed == "", F.array().cast("array<string>")).otherwise(F.split(squeezed, ""))
+    chars = F.when(squeezed(text) == "", F.array().cast("array<string>")).otherwise(F.split(squeezed(text), ""))
     return let(chars, lambda c: F.concat(*[of(c, n) for n in range(low, high + 1)]))
 
 

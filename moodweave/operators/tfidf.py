@@ -1,19 +1,23 @@
 """TF-IDF over word and character n-grams, in long form: a row per document and term.
 
 Texts are put together by document before they become terms, which are many times their size: a document's terms are then counted
-and scaled where they lie. Document frequencies are grouped by term; the vocabulary is cut by corpus frequency. ``fit`` and
-``transform`` are apart, so a vocabulary fitted on training rows serves any others.
+and scaled where they lie, as arrays (``grams``). Document frequencies are grouped by term; the vocabulary is cut by corpus frequency and
+comes to the driver. ``fit`` and ``transform`` are apart, so a vocabulary fitted on training rows serves any others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from . import grams
 
 
 @dataclass(frozen=True)
@@ -42,7 +46,11 @@ def term_counts(docs: DataFrame, kind: str, settings: Settings = Settings(), key
 
 def vocabulary(counts: DataFrame, n_docs: int, limit: int, settings: Settings = Settings()) -> DataFrame:
     """term, df, ctf, idf of the ``limit`` most frequent terms within the document-frequency bounds; ties by term."""
-    terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+    return most_frequent(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")), n_docs, limit, settings)
+
+
+def most_frequent(terms: DataFrame, n_docs: int, limit: int, settings: Settings = Settings()) -> DataFrame:
+    """``vocabulary`` of the totals (term, df, ctf) of all terms."""
     kept = terms.where((F.col("df") >= settings.min_df) & (F.col("df") <= settings.max_df * n_docs))
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     # ORDER BY with LIMIT keeps a bounded heap per task.
@@ -57,12 +65,57 @@ def weights(counts: DataFrame, vocabulary: DataFrame, settings: Settings = Setti
     return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
-def tfidf(docs: DataFrame, kind: str, settings: Settings = Settings(), train: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """Weights of ``docs`` under the vocabulary of ``train`` (of ``docs`` itself by default)."""
-    learnt = docs if train is None else train
+def units(kind: str, text: str = "text") -> Column:
+    """What n-grams of a text are made of: its words, or the text as its characters are counted."""
+    raw = T.plain(F.col(text))
+    return T.tokens(F.lower(raw)) if kind == "word" else T.squeezed(raw)
+
+
+def _lying(docs: DataFrame, kind: str, key: str, text: str) -> DataFrame:
+    """key and the units of all its texts, in as many tasks as a shuffle has."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(key, text).repartition(parts, key).groupBy(key).agg(F.collect_list(units(kind, text)).alias("texts"))
+
+
+def totals(lying: DataFrame, kind: str, settings: Settings = Settings(), column: str = "texts") -> DataFrame:
+    """term, df, ctf over documents, each an array of the units of its texts. Terms are counted by task before they are shuffled."""
+    orders = settings.words if kind == "word" else settings.chars
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, texts = grams.flat(batch.column(0))
+            yield from grams.totals(kind, texts, rows, *orders)
+
+    parts = lying.select(column).mapInArrow(of, "term string, df long, ctf long")
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+
+
+def learnt(docs: DataFrame, kind: str, settings: Settings = Settings(), n_docs: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``vocabulary`` of documents, without a row for each of their terms."""
     limit = settings.max_words if kind == "word" else settings.max_chars
-    words = vocabulary(term_counts(learnt, kind, settings, key), learnt.count(), limit, settings)
-    return weights(term_counts(docs, kind, settings, key), words, settings, key)
+    n = docs.count() if n_docs is None else n_docs
+    return most_frequent(totals(_lying(docs, kind, key, text), kind, settings), n, limit, settings)
+
+
+def tfidf(docs: DataFrame, kind: str, settings: Settings = Settings(), train: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Weights of ``docs`` under the vocabulary of ``train`` (of ``docs`` itself by default), which comes to the driver: ``weights`` of ``term_counts``."""
+    words = learnt(docs if train is None else train, kind, settings, key=key).select("term", "idf").collect()
+    low, high = settings.words if kind == "word" else settings.chars
+    terms = [r["term"] for r in words]
+    shared = docs.sparkSession.sparkContext.broadcast((grams.Vocabulary(kind, terms, high), np.array([r["idf"] for r in words], float)))
+    sublinear = settings.sublinear
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = shared.value
+        names = pa.array(known.terms, pa.string())
+        for batch in batches:
+            rows, texts = grams.flat(batch.column(1))
+            for found in grams.placed(kind, texts, rows, low, high, known):
+                columns = [batch.column(0).take(pa.array(found[0])), names.take(pa.array(found[1])), pa.array(grams.weighed(*found, idf, sublinear))]
+                yield pa.RecordBatch.from_arrays(columns, [key, "term", "weight"])
+
+    lying = _lying(docs, kind, key, "text")
+    return lying.mapInArrow(of, f"`{key}` {lying.schema[key].dataType.simpleString()}, term string, weight double")
 
 
 def feature_names(words: DataFrame, chars: DataFrame) -> DataFrame:

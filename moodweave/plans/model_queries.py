@@ -160,7 +160,7 @@ def tfidf_improved(spark, sf):
 @query("vocab_topk", f"WITH {_WORD_SQL} SELECT term, CAST(df AS BIGINT) AS df, CAST(ctf AS BIGINT) AS ctf FROM vocab")
 def vocab_topk(spark, sf):
     docs = _conversations(spark, sf)
-    return tfidf.vocabulary(tfidf.term_counts(docs, "word"), docs.count(), tfidf.Settings().max_words).select("term", "df", "ctf")
+    return tfidf.learnt(docs, "word").select("term", "df", "ctf")
 
 
 @query("term_statistics", f"WITH {_DOCS}, {_word_terms(1)} SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS ctf FROM grams GROUP BY term")
@@ -177,9 +177,7 @@ def term_statistics(spark, sf):
 def feature_names(spark, sf):
     docs = _conversations(spark, sf)
     n = docs.count()
-    own = tfidf.Settings()
-    each = [tfidf.vocabulary(tfidf.term_counts(docs, kind), n, most) for kind, most in (("word", own.max_words), ("char", own.max_chars))]
-    return tfidf.feature_names(*each)
+    return tfidf.feature_names(*[tfidf.learnt(docs, kind, n_docs=n) for kind in ("word", "char")])
 
 
 @query(

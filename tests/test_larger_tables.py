@@ -59,6 +59,25 @@ def test_only_texts_are_shuffled_by_document(spark, kind):
     assert {(r["doc_id"], r["term"]): r["tf"] for r in counts.collect()} == want
 
 
+MANY = "".join(chr(0x4E00 + i) for i in range(1500))
+
+
+@pytest.mark.parametrize("kind", ["word", "char"])
+@pytest.mark.parametrize("settings", [tfidf.Settings(), tfidf.IMPROVED, tfidf.Settings(max_words=7, max_chars=40)])
+def test_terms_are_no_rows_before_they_are_weighed(spark, kind, settings, monkeypatch):
+    texts = [(1, "one two one"), (1, "two"), (2, "an \U0001f600 é  \t x"), (3, ""), (None, "two two"), (4, None), (5, MANY + MANY[:90]), (6, "a\0b \0\0 a\0b"), (7, "one two two")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr("moodweave.operators.grams.UNITS", 20)  # several parts; the text of many characters fits no number
+    found = tfidf.tfidf(docs, kind, settings)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    counts, most = tfidf.term_counts(docs, kind, settings), settings.max_words if kind == "word" else settings.max_chars
+    want = tfidf.weights(counts, tfidf.vocabulary(counts, len(texts), most, settings), settings)
+    of = lambda df: {(r["doc_id"], r["term"]): pytest.approx(r["weight"]) for r in df.collect()}
+    got = of(found)
+    assert got.keys() == of(want).keys() and all(r["weight"] == got[r["doc_id"], r["term"]] for r in want.collect())
+
+
 def test_terms_become_vectors_before_the_fit(spark, sf, monkeypatch):
     seen = []
 
