@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from moodweave import plans
@@ -78,6 +79,33 @@ def test_terms_are_no_rows_before_they_are_weighed(spark, kind, settings, monkey
     assert got.keys() == of(want).keys() and all(r["weight"] == got[r["doc_id"], r["term"]] for r in want.collect())
 
 
+@pytest.mark.parametrize("settings", [tfidf.Settings(), tfidf.IMPROVED])
+def test_vectors_from_texts_are_those_of_their_terms(spark, settings):
+    docs = spark.createDataFrame([(1, "one two one"), (2, "an \U0001f600 é  \t x one two"), (3, ""), (4, None), (5, MANY), (6, "a\0b two one")], "doc_id long, text string")
+    stages = models.learnt_tfidf(docs, settings=settings)
+    terms = models.with_terms(docs, words=settings.words, chars=settings.chars)
+    want = {r["doc_id"]: r["tfidf"].toArray() for r in PipelineModel(stages=stages).transform(terms).collect()}
+    got = {r["doc_id"]: r["tfidf"] for r in models.with_tfidf(docs, stages, settings).collect()}
+    assert got.keys() == want.keys() and all(v.size == len(want[k]) and np.allclose(v.toArray(), want[k]) for k, v in got.items())
+    fitted = Pipeline(stages=models.tfidf_stages(settings=settings)).fit(terms)
+    assert [set(s.vocabulary) for s in stages if hasattr(s, "vocabulary")] == [set(s.vocabulary) for s in fitted.stages if hasattr(s, "vocabulary")]
+
+
+@pytest.mark.parametrize("name", ["train_tfidf_lr", "improved_training", "embedding_hybrid"])
+def test_no_arrays_of_terms_are_made(spark, sf, monkeypatch, name):
+    def never(*_, **__):
+        raise AssertionError("terms")
+
+    class Fit:
+        def fit(self, train):
+            raise Stop
+
+    monkeypatch.setattr(models, "with_terms", never)
+    monkeypatch.setattr(models, "logistic", lambda *a, **k: Fit())
+    with pytest.raises(Stop):
+        plans.QUERIES[name](spark, sf)
+
+
 def test_terms_become_vectors_before_the_fit(spark, sf, monkeypatch):
     seen = []
 
